@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import bpe, inner_products, mixing, permutation_index, quality, sharding
 from .common import table
 
 
@@ -17,6 +17,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = permutation_index.search(spark, vectors, vectors.where("vec_id % 50 = 0"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_quality(spark, docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = inner_products.search(spark, vectors, vectors.where("vec_id % 50 = 0"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,11 +50,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding}
+    return {
+        "op1_permutation_index": op1_permutation_index,
+        "op3_bpe": op3_bpe,
+        "op4_quality": op4_quality,
+        "op6_mixing": op6_mixing,
+        "op7_sharding": op7_sharding,
+        "op9_inner_products": op9_inner_products,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6}
+    return {"op6_mixing": OP6, "op9_inner_products": OP9}
 
 
 OP6 = r"""
@@ -67,3 +92,13 @@ rated AS (
 SELECT doc_id, size, source_size, target,
        CAST(least(floor(u + f * k) - floor(u + f * (k - 1)), ceil(f)) AS BIGINT) * size AS taken FROM rated
 """
+
+OP9 = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
