@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, inner_products, mixing, permutation_index, quality, sharding
+from . import bpe, inner_products, mixing, ngram_join, permutation_index, quality, sharding
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(spark, table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_quality(spark, docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -52,6 +56,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_permutation_index": op1_permutation_index,
+        "op2_ngram_join": op2_ngram_join,
         "op3_bpe": op3_bpe,
         "op4_quality": op4_quality,
         "op6_mixing": op6_mixing,
