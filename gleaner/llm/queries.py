@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, inner_products, mixing, ngram_join, permutation_index, quality, sharding
+from . import bpe, chunk_dedup, inner_products, mixing, ngram_join, permutation_index, quality, sharding
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = inner_products.search(spark, vectors, vectors.where("vec_id % 50 = 0"))
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
+        "op8_chunk_dedup": op8_chunk_dedup,
         "op9_inner_products": op9_inner_products,
     }
 
