@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, inner_products, mixing, ngram_join, permutation_index, quality, sharding
+from . import bpe, chunk_dedup, inner_products, mixing, ngram_join, permutation_index, quality, secrets, sharding
 from .common import table
 
 
@@ -57,6 +57,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("number").cast("int").alias("number"), F.length("value").alias("length"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_permutation_index": op1_permutation_index,
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sharding": op7_sharding,
         "op8_chunk_dedup": op8_chunk_dedup,
         "op9_inner_products": op9_inner_products,
+        "op10_secrets": op10_secrets,
     }
 
 
