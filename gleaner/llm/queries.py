@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, inner_products, mixing, ngram_join, permutation_index, quality, secrets, sharding
+from . import bpe, chunk_dedup, html_text, inner_products, mixing, ngram_join, permutation_index, quality, secrets, sharding
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(spark, table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": op2_ngram_join,
         "op3_bpe": op3_bpe,
         "op4_quality": op4_quality,
+        "op5_html_text": op5_html_text,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_chunk_dedup": op8_chunk_dedup,
