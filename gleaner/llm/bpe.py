@@ -315,12 +315,18 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str) -> DataFra
     at = kept.columns.index("text")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         encoder = Encoder(path)
         for batch in batches:
-            ids = [[int(x) for block in encoder.encode(t or "") for x in block.split(",")] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+            offsets, parts = [0], []
+            for text in batch.column(at).to_pylist():
+                blocks = [np.array(x.split(","), np.int32) for x in encoder.encode(text or "")]
+                offsets.append(offsets[-1] + sum(map(len, blocks)))
+                parts += blocks
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 

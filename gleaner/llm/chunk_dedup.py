@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
-from .ngram_join import maybe_among
+from .common import split_among, staged
 
 #: Least and most bytes of a chunk; a cut has BITS clear bits, so a chunk holds about LEAST + 2 ** BITS bytes.
 LEAST, MOST, BITS = 16, 192, 5
@@ -101,7 +100,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
         "row", "doc_id", "k", F.col("c.digests").alias("digest"), F.col("c.ends").alias("end"), F.col("c.words").alias("words")
     )
     starts = each.select("row", "ends")
-    hit = maybe_among(one, "digest", shared).join(shared, "digest")
+    hit = split_among(one, "digest", shared)[0].join(shared, "digest")
     island = F.col("k") - F.row_number().over(Window.partitionBy("row").orderBy("k"))
     runs = (
         hit.withColumn("island", island)

@@ -40,3 +40,25 @@ def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
 def unit_interval(text: Column) -> Column:
     """A number in [0, 1) from the first 13 hexadecimal digits of the MD5 of text."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+#: Bits of a mask, whatever the input.
+MASK_BITS = 1 << 24
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MASK_BITS))
+
+
+def split_among(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among those of wanted(key), and the rows whose key surely isn't.
+
+    A mask of MASK_BITS bits is broadcast (2 MB at most), so the second part goes nowhere; the first holds all
+    wanted rows and, while wanted is well below MASK_BITS, few others.
+    """
+    mask = wanted.select(_slot(F.col(key)).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__mask"))
+    place = F.bitmap_bit_position(_slot(F.col(key)))
+    byte = F.conv(F.hex(F.substring(F.col("__mask"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    marked = rows.join(F.broadcast(mask), F.bitmap_bucket_number(_slot(F.col(key))) == F.col("__bucket"), "left")
+    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)

@@ -43,7 +43,7 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, c
 
 
 def mix_sources(
-    spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix"
+    spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", whole: bool = False
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every row of docs(doc_id, text, source).
 
@@ -52,21 +52,24 @@ def mix_sources(
     emitted once for each integer that its stretch of the sum crosses. The sum is the rank times a constant, and
     the rank is a count over bounded cells plus a rank within a cell: no task holds a source.
     Null text has size 0; a null source is a source of its own; repeated rows each count; an empty table
-    gives an empty result; sources without words have target 0 and nothing is taken. Other columns are not read.
+    gives an empty result; sources without words have target 0 and nothing is taken. With whole, the result has the
+    columns of docs and copies instead; names that start with two underscores are used inside.
     """
-    sized = staged(
-        spark,
+    sized = (
         docs.select(
             "doc_id",
             "source",
+            *([F.struct(*docs.columns).alias("__row"), F.xxhash64("text").alias("__tie")] if whole else [F.lit(0).alias("__row"), F.lit(0).alias("__tie")]),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ).withColumns(
             {
                 "bucket": size_bucket(F.col("size")),
                 "part": (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int") % SPLITS),
             }
-        ),
+        )
     )
+    if not whole:
+        sized = staged(spark, sized)
     cell = ["source", "bucket", "part"]
     cells = sized.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
@@ -79,17 +82,25 @@ def mix_sources(
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit_interval(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00"))))
-    inside = Window.partitionBy("s.source", "s.bucket", "s.part").orderBy("size", F.col("doc_id").asc_nulls_last())
-    return (
+    inside = Window.partitionBy("s.source", "s.bucket", "s.part").orderBy("size", F.col("doc_id").asc_nulls_last(), "__tie")
+    drawn = (
         sized.alias("s")
         .withColumn("rank", F.row_number().over(inside))
         .join(
             starts.alias("b"),
             F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.bucket") == F.col("b.bucket")) & (F.col("s.part") == F.col("b.part")),
         )
-        .select(F.col("s.doc_id"), F.col("s.source"), "size", "source_size", "target", (F.col("start") + F.col("rank")).alias("rank"))
+        .select(F.col("s.doc_id"), F.col("s.source"), "__row", "size", "source_size", "target", (F.col("start") + F.col("rank")).alias("rank"))
         .withColumn("rate", rate)
         .withColumn("offset", offset)
         .withColumn("copies", F.least(F.floor(F.col("offset") + F.col("rate") * F.col("rank")) - F.floor(F.col("offset") + F.col("rate") * (F.col("rank") - 1)), F.ceil("rate")))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+    if whole:
+        return drawn.select("__row.*", F.col("copies").alias("__copies"))
+    return drawn.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; its columns stay."""
+    drawn = mix_sources(spark, docs, whole=True, **options).where("__copies > 0")
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

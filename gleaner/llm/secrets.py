@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import split_among, staged
+
 #: Labelled findings of each class, trees and their depth.
 LABELLED, TREES, DEPTH = 1500, 15, 7
 
@@ -140,8 +142,9 @@ def find_secrets(spark: SparkSession, docs: DataFrame, model: Model | None = Non
 
 def redact(spark: SparkSession, docs: DataFrame, model: Model | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found secret replaced by mark in text; all columns and all documents stay."""
-    found = find_secrets(spark, docs, model).where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("value").alias("__secrets"))
+    found = staged(spark, find_secrets(spark, docs, model).groupBy("doc_id").agg(F.collect_set("value").alias("__secrets")))
     longest = F.expr("array_sort(__secrets, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)")
     text = F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    joined = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    return joined.withColumn("text", F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    touched, rest = split_among(docs, "doc_id", found)
+    joined = touched.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return rest.unionByName(joined.withColumn("text", F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(text)).select(*docs.columns))
