@@ -28,14 +28,11 @@ def usable_tables(tables: DataFrame, rows: int = 2, columns: int = 2, filled: fl
 
 def outside_tables(lines: DataFrame, tables: DataFrame, slack: float = 2.0) -> DataFrame:
     """lines without those of which a line of equal text within half a point lies in a table's box: an equi-join with a box condition."""
-    box = F.col("t.bbox")
-    inside = lines.alias("l").join(
-        tables.alias("t"),
-        (F.col("l.document_id") == F.col("t.document_id")) & (F.col("l.page_number") == F.col("t.page_number"))
-        & (F.col("l.x0") >= box["x0"] - slack) & (F.col("l.y0") >= box["y0"] - slack) & (F.col("l.x1") <= box["x1"] + slack) & (F.col("l.y1") <= box["y1"] + slack),
-        "left_semi",
-    ).select("document_id", "page_number", "text", F.col("y0").alias("__y"))
-    return lines.join(inside.alias("i"), (F.abs(lines["y0"] - F.col("__y")) < 0.5) & (lines["document_id"] == F.col("i.document_id")) & (lines["page_number"] == F.col("i.page_number")) & (lines["text"] == F.col("i.text")), "left_anti").select(*lines.columns)
+    box, keys = F.col("bbox"), ["document_id", "page_number"]
+    within = (F.col("x0") >= box["x0"] - slack) & (F.col("y0") >= box["y0"] - slack) & (F.col("x1") <= box["x1"] + slack) & (F.col("y1") <= box["y1"] + slack)
+    inside = lines.join(tables.select(*keys, "bbox"), keys).where(within).select(*[F.col(c).alias(f"__{c}") for c in [*keys, "text", "y0"]])
+    same = [F.col(c) == F.col(f"__{c}") for c in [*keys, "text"]]
+    return lines.join(inside, [*same, F.abs(F.col("y0") - F.col("__y0")) < 0.5], "left_anti")
 
 
 def page_blocks(lines: DataFrame, tables: DataFrame, column_aware: bool = False) -> DataFrame:

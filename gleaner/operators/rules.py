@@ -97,5 +97,8 @@ def asks_for_prescription(text: Column) -> Column:
 
 def dose_phrases(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, kind, phrase: every match of every pattern."""
-    each = F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("phrase"))) for k, p in K.DOSES.items()])
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("phrase")))
+
+    each = F.array(*[of(k, p) for k, p in K.DOSES.items()])
     return texts.select(key, F.explode(F.flatten(each)).alias("m")).select(key, "m.kind", "m.phrase")

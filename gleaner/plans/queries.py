@@ -211,9 +211,10 @@ def threshold_fit(spark, d):
     return evaluate.fit_threshold(_scored(spark, d)).select(*[F.round(c, 9).alias(c) for c in ("tau", "correct_refusal", "false_refusal")])
 
 
-@query("SELECT quantile_cont(value, 0.025) AS p2_5, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.6) AS p60, quantile_cont(value, 0.975) AS p97_5 FROM (SELECT CAST(n_chars AS DOUBLE) AS value FROM documents)")
+@query("SELECT round(quantile_cont(value, 0.025), 6) AS p2_5, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.6), 6) AS p60, round(quantile_cont(value, 0.975), 6) AS p97_5 FROM (SELECT CAST(n_chars AS DOUBLE) AS value FROM documents)")
 def percentile_report(spark, d):
-    return evaluate.percentiles(_t(spark, d, "documents").select(F.col("n_chars").cast("double").alias("value")), "value", [2.5, 50, 60, 97.5])
+    found = evaluate.percentiles(_t(spark, d, "documents").select(F.col("n_chars").cast("double").alias("value")), "value", [2.5, 50, 60, 97.5])
+    return _rounded(found, *found.columns)
 
 
 @query("WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM (SELECT p_retailprice AS value FROM part)) SELECT max(CASE WHEN i = n // 2 THEN value END) AS median, max(CASE WHEN i = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) THEN value END) AS p95 FROM s")
@@ -338,7 +339,7 @@ def evidence_packs(spark, d):
     return ev.pack_summary(_pack(spark, d)).select("query_id", F.round("top_rrf_score", 9).alias("top_rrf_score"), "support_count")
 
 
-@query("WITH " + PACK + ", s AS (SELECT item_id AS query_id, k AS statement_no, CASE k WHEN 1 THEN ['E1'] WHEN 2 THEN ['E1', 'E9'] ELSE [] END AS ids FROM benchmark, (SELECT unnest([1, 2, 3]) AS k)), o AS (SELECT s.*, len(ids) > 0 AND len([i FOR i IN ids IF NOT list_contains(coalesce((SELECT list('E' || rank) FROM p WHERE p.query_id = s.query_id), []), i)]) = 0 AS valid FROM s) SELECT query_id, CAST(statement_no AS INT) AS statement_no, valid, CASE WHEN valid THEN NULL WHEN len(ids) = 0 THEN 'no citation' ELSE 'unresolved citation' END AS reason FROM o")
+@query("WITH " + PACK + ", s AS (SELECT item_id AS query_id, k AS statement_no, CASE k WHEN 1 THEN ['E1'] WHEN 2 THEN ['E1', 'E9'] ELSE [] END AS ids FROM benchmark, (SELECT unnest([1, 2, 3]) AS k)), kn AS (SELECT query_id, list('E' || rank) AS known FROM p GROUP BY 1), o AS (SELECT s.*, len(ids) > 0 AND list_has_all(coalesce(known, []), ids) AS valid FROM s LEFT JOIN kn USING (query_id)) SELECT query_id, CAST(statement_no AS INT) AS statement_no, valid, CASE WHEN valid THEN NULL WHEN len(ids) = 0 THEN 'no citation' ELSE 'unresolved citation' END AS reason FROM o")
 def citation_check(spark, d):
     ids = F.array(F.array(F.lit("E1")), F.array(F.lit("E1"), F.lit("E9")), F.array().cast("array<string>"))
     said = _asked(spark, d).select("query_id", F.posexplode(ids).alias("at", "evidence_ids")).select("query_id", (F.col("at") + 1).alias("statement_no"), F.lit("x").alias("text"), "evidence_ids")
@@ -367,12 +368,12 @@ def repeated_headers(spark, d):
     return layout.repeated_texts(_lines(spark, d), 0.05)
 
 
-@query("WITH " + LINES + ", b AS (SELECT *, CASE WHEN y0 < 50 THEN 'top' WHEN y0 > 750 THEN 'bottom' END AS zone, round_even(y0, 0) AS slot FROM ln) SELECT b.document_id, zone, slot, CAST(count(*) AS BIGINT) AS n FROM b JOIN pg USING (document_id) WHERE zone IS NOT NULL GROUP BY b.document_id, zone, slot, pages HAVING count(*) >= greatest(1, CAST(floor(pages * 0.3::DOUBLE) AS BIGINT)) AND max(length(trim(text))) <= 60")
+@query("WITH " + LINES + ", b AS (SELECT *, CASE WHEN y0 < 50 THEN 'top' WHEN y0 > 750 THEN 'bottom' END AS zone, round_even(y0, 0) AS slot FROM ln) SELECT b.document_id, zone, slot, CAST(count(*) AS BIGINT) AS n FROM b JOIN pg USING (document_id) WHERE zone IS NOT NULL GROUP BY b.document_id, zone, slot, pages HAVING count(*) >= greatest(1, CAST(floor(pages * 0.001::DOUBLE) AS BIGINT)) AND max(length(trim(text))) <= 60")
 def header_slots(spark, d):
-    return layout.recurring_slots(_lines(spark, d))
+    return layout.recurring_slots(_lines(spark, d), 0.001)
 
 
-@query("WITH " + LINES + ", s AS (SELECT document_id, CASE WHEN length(text) < 40 THEN 16.0::DOUBLE ELSE 11.0::DOUBLE END AS size, page_number, line_no FROM ln), v AS (SELECT document_id, size, count(*) AS n, min(page_number * 100000 + line_no) AS at FROM s GROUP BY 1, 2) SELECT document_id, size AS body FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, at) AS r FROM v) WHERE r = 1")
+@query("WITH " + LINES + ", s AS (SELECT document_id, CASE WHEN length(text) < 40 THEN 16.0::DOUBLE ELSE 11.0::DOUBLE END AS size, page_number, line_no FROM ln), v AS (SELECT document_id, size, count(*) AS n, min(page_number * 100000 + line_no) AS first_at FROM s GROUP BY 1, 2) SELECT document_id, size AS body FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first_at) AS r FROM v) WHERE r = 1")
 def body_text_size(spark, d):
     return layout.body_size(_lines(spark, d))
 
@@ -479,7 +480,7 @@ def insecure_urls(spark, d):
     return contracts.bad_urls(_t(spark, d, "pages").withColumn("source_url", F.regexp_replace("url", "^http://", "ftp://"))).select("page_id")
 
 
-@query("SELECT item_id, list_distinct([CAST(floor(i * item_id / 5) AS INT) FOR i IN range(0, 5)]) AS sample FROM benchmark WHERE item_id > 5".replace("list_distinct", "list_sort"))
+@query("SELECT item_id, list_sort([CAST(floor(i * item_id / 5) AS INT) FOR i IN range(0, 5)]) AS sample FROM benchmark WHERE item_id > 5")
 def page_samples(spark, d):
     return _t(spark, d, "benchmark").where("item_id > 5").select("item_id", src.page_sample(F.col("item_id"), 5).alias("sample"))
 
