@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from ..functions.text import terms
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,13 +56,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 25, key: str = "vec_
 
 
 def hashed_embedding(text: Column, dim: int = 64, prefix: str = "") -> Column:
-    """A deterministic stand-in for a model: signed hashed term counts, of unit length."""
-    words = terms(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    spots = F.transform(words, lambda w: F.struct(slot(w).alias("i"), sign(w).alias("s")))
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(spots, lambda x: x["i"] == i), F.lit(0.0), lambda s, x: s + x["s"]))) if dim else zero
+    """A deterministic stand-in for a model: signed hashed term counts of unit length, in Arrow batches."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def one(t: str | None) -> np.ndarray:
+            hashes = np.fromiter((known.setdefault(w, zlib.crc32(w.encode())) for w in re.findall("[a-z0-9]+", (prefix + (t or "")).lower())), np.int64)
+            v = np.bincount(hashes % dim, weights=1.0 - 2.0 * ((hashes >> 16) & 1), minlength=dim)
+            return v / (np.sqrt((v * v).sum()) or 1.0)
+
+        return texts.map(one)
+
+    return run(F.coalesce(text, F.lit("")))
 
 
 def budget_batches(lengths: Iterable[int], budget: int = 8192, cap: int | None = None) -> Iterator[list[int]]:
