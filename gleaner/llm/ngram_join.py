@@ -153,7 +153,7 @@ def links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, n
         if near is not None and near[x] < far / 2:
             d = near[others]
             linked = across & (d + near[x] <= far - 1e-9)
-            open_ = across & ~linked & ~(np.abs(d - near[x]) > far + 1e-9)
+            open_ = across & ~linked & ~(np.isfinite(d) & (np.abs(d - near[x]) > far + 1e-9))  # a hub's distances end with its size range
         else:
             open_ = np.ones(len(others), bool)
         if open_.any():
