@@ -487,6 +487,6 @@ def page_samples(spark, d):
 
 @query()
 def answers(spark, d):
-    asked = _talk(spark, d).where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    asked = _talk(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     chunks = _chunks(spark, d).withColumn("domains", F.array(F.lit("emergency")))
     return answer_batch(asked, chunks, {"emergency": ["chest", "bleeding", "speech"], "primary-care": ["cough", "mild"]})
