@@ -17,6 +17,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import split_among, staged
+
 #: Pages of different content that a host's node needs to be judged, its least importance, and the share of contents in it.
 PAGES, IMPORTANCE, CONTENTS = 5, 0.2, 0.9
 #: Rows of the table of low branches up to which it is broadcast; beyond, pages and branches meet in a shuffle join.
@@ -121,14 +123,35 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def _keyed(batches) -> Iterator:
+    """Pages (url, html) with their host instead of the URL, and a digest of both."""
+    import pyarrow as pa
+
+    for b in batches:
+        hosts = [host(url) for url in b.column(0).to_pylist()]
+        keys = [hashlib.blake2b(f"{at}\n{html or ''}".encode("utf-8", "replace"), digest_size=16).digest() for at, html in zip(hosts, b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), b.column(1), pa.array(keys, pa.binary())], names=["host", "html", "key"])
+
+
+def different(pages: DataFrame) -> DataFrame:
+    """host and html of pages(url, html), each content of a host once.
+
+    Only pages that have copies are moved, one of them from each task.
+    """
+    keyed = pages.select("url", "html").mapInArrow(_keyed, "host string, html string, key binary")
+    copied = staged(pages.sparkSession, keyed.groupBy("key").count().where("count > 1").select("key"))
+    some, rest = split_among(keyed, "key", copied)
+    return rest.unionByName(some.dropDuplicates(["key"])).select("host", "html")
+
+
 def _nodes(batches) -> Iterator:
-    """A row for each style path of a page: its content and its presentation."""
+    """A row for each style path of a page (host, html): its content and its presentation."""
     import pyarrow as pa
 
     for b in batches:
         out: list[tuple] = []
-        for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            page, at = parse(html), host(url)
+        for at, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            page = parse(html)
             texts: dict[str, list[str]] = {}
             for path, *_, text in page.blocks:
                 texts.setdefault(path, []).append(text)
@@ -140,11 +163,11 @@ def _nodes(batches) -> Iterator:
 def style_tree(pages: DataFrame, least_pages: int = PAGES) -> DataFrame:
     """host, path, pages, importance of the nodes that hold text in pages(url, html).
 
-    Importance lies between 0 (the same on all pages) and 1 (different on each). Only counts leave a task, and a
-    node's counts are added up in parts, so a host may hold any share of the pages. A node on fewer than least_pages
-    pages has importance 1.
+    Importance lies between 0 (the same on all pages) and 1 (different on each). Copies of a page count once. Only counts
+    and pages that have copies leave a task, and a node's counts are added up in parts, so a host may hold any share of
+    the pages. A node on fewer than least_pages pages has importance 1.
     """
-    nodes = pages.select("url", "html").mapInArrow(_nodes, "host string, path string, content long, shape long")
+    nodes = different(pages).mapInArrow(_nodes, "host string, path string, content long, shape long")
     seen = nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("shape").alias("value")))).alias("x")).groupBy("host", "path", "x").agg(F.count("*").cast("double").alias("n"))
     by_kind = seen.groupBy("host", "path", F.col("x.kind").alias("kind")).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0)
@@ -171,8 +194,6 @@ def extract_text(spark: SparkSession, pages: DataFrame, importance: float = IMPO
     markup is closed where it ends. Other columns are not read.
     """
     low = style_tree(pages).where(F.col("importance") < importance).groupBy("host").agg(F.collect_set("path").alias("low"))
-    from .common import staged
-
     low = staged(spark, low.withColumnRenamed("host", "__host"))
     few = low.limit(BROADCAST_ROWS + 1).agg(F.sum(F.size("low")).alias("n"), F.count("*").alias("h")).first()
     small = few["h"] <= BROADCAST_ROWS and (few["n"] or 0) <= BROADCAST_ROWS
