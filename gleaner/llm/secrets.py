@@ -21,7 +21,7 @@ LABELLED, TREES, DEPTH = 1500, 15, 7
 _NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|bearer|auth|(?:api|access|private|secret|account)[_-]?key)"
 #: A run of key characters with a digit, or what is assigned to a name of secrets.
 RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
-ASSIGNED = rf"(?i:{_NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"']{{6,400}}"
+ASSIGNED = rf"(?i:{_NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"']{{6,}}+"
 CANDIDATE = f"(?:{ASSIGNED}|{RUN})"
 LEFT = 40
 
