@@ -383,6 +383,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, width: int = 5, num:
     """
     found = staged(spark, jaccard_classes(spark, docs, width, num, den).where("doc_id is not null"))
     gone = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")).where("doc_id <> component_id or rows > 1")
-    touched, rest = split_among(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone.select(F.col("doc_id").alias("__id")))
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    touched, rest = split_among(keyed.where("__id is not null"), "__id", gone.select(F.col("doc_id").alias("__id")))
     kept = touched.join(gone.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")), "__id", "left_anti").dropDuplicates(["__id", "text"])
-    return rest.unionByName(kept).select(*docs.columns)
+    return rest.unionByName(kept).unionByName(keyed.where("__id is null")).select(*docs.columns)
