@@ -51,10 +51,11 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """Weights and threshold. Pairs (better, worse) are drawn at random; Newton steps on the logistic loss of the differences.
 
-    The threshold is the quantile of the scores at the share of worse documents, between the two scores around it.
+    The threshold is the quantile of the scores at the share of worse documents, between the two scores around it; a row
+    of class k counts stands_for[k] times in it.
     """
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     w = np.zeros(x.shape[1])
@@ -69,8 +70,10 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, s
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    s = np.sort(x @ w)
-    cut = len(bad)
+    order = np.argsort(x @ w, kind="stable")
+    s, below = (x @ w)[order], np.cumsum(np.where(y == 1, stands_for[1], stands_for[0])[order])
+    cut = int(np.searchsorted(below, len(bad) * stands_for[0] * (1 + 1e-9), side="right"))
+    cut = min(max(cut, 1), len(s) - 1)
     return w, float((s[cut - 1] + s[cut]) / 2)
 
 
@@ -79,9 +82,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights and threshold from labels(doc_id, quality) outside the held-out third; at most sample rows of each class."""
+    """Weights and threshold from labels(doc_id, quality) outside the held-out third.
+
+    The weights come from at most sample rows of each class; for the threshold these rows stand for all of their class.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    counts = {int(r["quality"]): r["n"] for r in one.groupBy("quality").agg(F.count("*").alias("n")).collect()}  # two rows
     order = F.xxhash64("doc_id")
     picked = one.where("quality = 1").orderBy(order, "doc_id").limit(sample).unionByName(one.where("quality = 0").orderBy(order, "doc_id").limit(sample))
 
@@ -97,7 +104,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     rows = found.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("x").alias("x")).orderBy("doc_id").collect()  # at most 2 * sample rows
     if not rows:
         return np.zeros(FEATURES), 0.0
-    return fit(np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows]))
+    bad, good = (max(1.0, counts.get(k, 0) / sample) for k in (0, 1))
+    return fit(np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), stands_for=(bad, good))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
