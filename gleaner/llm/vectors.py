@@ -1,15 +1,13 @@
-"""What both vector searches share: sound rows, blocks, and the grid of query blocks against row blocks."""
+"""What both vector searches share: sound rows, and the meetings of query blocks with row blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
-
 
 def sound(vectors: DataFrame, zero_too: bool) -> DataFrame:
     """vec_id and embedding (array<double>) of the rows whose components are all finite; the zero vector only if zero_too."""
@@ -48,35 +46,30 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return few[np.lexsort((ids[few], -scores[few]))][:k]
 
 
-def grid_search(
-    spark: SparkSession, queries: DataFrame, rows: DataFrame, width: int, k: int, search: Callable, score: str, block: int, query_block: int
-) -> DataFrame:
-    """query_id, rank, vec_id and score: the best k of what search(query table, row table) yields for each pair of blocks.
+def met(queries: DataFrame, blocks: DataFrame, search: Callable, score: str, k: int) -> DataFrame:
+    """query_id, rank, vec_id and score: the best k of what search(query table, block table) yields for each (q, r).
 
-    Queries and rows fall into blocks of bounded size by a hash, and each block of one meets each of the other in a
-    task of its own: the k best of a query in a block are all that leaves it. The work is queries times rows, as
-    asked; the memory of a task doesn't grow, and neither side is broadcast.
+    Each block of queries meets each block of rows in a task of its own: the k best of a query in a block are all that
+    leaves it. The work is queries times rows, as asked; the memory of a task doesn't grow, and neither side is broadcast.
     """
     import pyarrow as pa
 
-    n, m = rows.count(), queries.count()
-    across, down = max(1, -(-n // block)), max(1, -(-m // query_block))
-    place = lambda df, parts, salt: F.pmod(F.xxhash64("vec_id", "embedding", F.lit(salt)), F.lit(parts)).cast("int")
-    left = queries.withColumn("q", place(queries, down, 1)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    right = rows.withColumn("r", place(rows, across, 2)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    kind = pa.int64() if score == "long" else pa.float64()
+    kind, kept = (pa.int64(), "i8") if score == "long" else (pa.float64(), "f8")
 
     def run(a, b):
-        found = [x for x in search(a, b)] if a.num_rows and b.num_rows else []
+        found = list(search(a, b)) if a.num_rows and b.num_rows else []
         cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
-        return pa.table([pa.array(c.astype(t), ty) for c, t, ty in zip(cols, ("i8", "i8", "i8" if score == "long" else "f8"), (pa.int64(), pa.int64(), kind), strict=True)], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c.astype(t), ty) for c, t, ty in zip(cols, ("i8", "i8", kept), (pa.int64(), pa.int64(), kind), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(run, f"query_id long, vec_id long, score {score}")
+    found = queries.groupBy("q", "r").cogroup(blocks.groupBy("q", "r")).applyInArrow(run, f"query_id long, vec_id long, score {score}")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def prepared(spark: SparkSession, vectors: DataFrame, k: int, zero_too: bool) -> tuple[DataFrame, int]:
-    """Sound rows with few copies, written once, and the largest number of components."""
-    rows = staged(spark, few_copies(sound(vectors, zero_too), k + 1))
-    return rows, rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+def place(parts: int, salt: int) -> Column:
+    """One of parts blocks, by a hash of the row."""
+    return F.pmod(F.xxhash64("vec_id", "embedding", F.lit(salt)), F.lit(parts)).cast("int")
+
+
+def upto(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
