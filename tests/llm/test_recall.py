@@ -39,7 +39,7 @@ def test_footrule_is_that_of_the_orders():
 def test_inner_products_of_many_lengths(spark, monkeypatch):
     monkeypatch.setattr(inner_products, "SEEDS", 32)
     rng = np.random.default_rng(8)
-    x = (rng.normal(size=(900, 16)) * rng.lognormal(0, 1.5, size=(900, 1))).astype("f4")
+    x = (rng.normal(size=(950, 16)) * rng.lognormal(0, 1.5, size=(950, 1))).astype("f4")
     x[50] = 0
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(950, [1.0, 2.0]), (1000, [math.inf] * 16)], "vec_id long, embedding array<float>")
     rows = {i: np.floor(256 * v.astype(float)).astype(int) for i, v in enumerate(x)} | {950: np.array([256, 512] + [0] * 14)}
