@@ -20,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: The pieces of byte-level BPE; alternatives that start alike keep their order.
-PIECES = regex.compile(r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The pieces of byte-level BPE, in their published form.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 RUNS = {"L": regex.compile(r"\p{L}+"), "N": regex.compile(r"\p{N}+"), "S": regex.compile(r"\s+"), "P": regex.compile(r"[^\s\p{L}\p{N}]+")}
 #: A character of each class.
 PROXY = {"L": "a", "N": "1", "S": "\t", "P": "!"}
-#: Characters of text that are fed at a time; pieces that are remembered; a piece that is longer is not held whole.
-BLOCK, REMEMBERED, LONG = 1 << 16, 300_000, 4096
+#: Characters of text that are fed at a time; pieces that are remembered, and characters of such a piece; a piece that is longer than LONG is not held whole.
+BLOCK, REMEMBERED, SHORT, LONG = 1 << 16, 300_000, 64, 4096
 NONE = 1 << 62
 
 
@@ -137,15 +137,17 @@ def load_merges(path: str) -> tuple[MergeList, object]:
 
 
 class Remembered(dict):
-    """Ids of pieces, as decimal text joined by commas; starts anew when full."""
+    """Ids of pieces, as decimal text joined by commas; starts anew when full. Long pieces aren't kept, so its bytes are bounded."""
 
     def __init__(self, merges: MergeList) -> None:
         self.merges = merges
 
     def __missing__(self, piece: str) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = out = ",".join(map(str, self.merges.encode(piece.encode())))
+        out = ",".join(map(str, self.merges.encode(piece.encode())))
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
         return out
 
 

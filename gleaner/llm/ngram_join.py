@@ -3,8 +3,9 @@
 Index level: the shingles of a set fall into blocks by position (a hash of the shingle, as many blocks as two linked
 sets of that size can differ in, and some more), and an index list holds the sets that agree on a whole block at one
 position; everything else in that block's lists is skipped without being read. Two linked sets agree on at least one
-block, so nothing is lost. Blocks that hold hardly any shingle select badly and are left out where the spare blocks
-allow that; where blocks are small, frequent shingles are too. Answer level: candidate sets meet in bounded blocks; the answer of a set is derived from the computed
+block, so nothing is lost. Sets so small that linked ones are equal meet by their digest and are in no list. Blocks that
+hold hardly any shingle select badly and are left out where the spare blocks allow that; where blocks are small,
+frequent shingles are too. Answer level: candidate sets meet in bounded blocks; the answer of a set is derived from the computed
 distances of a similar set, since Jaccard distance is a metric, and only pairs that the triangle inequality leaves
 open are intersected.
 """
@@ -22,24 +23,26 @@ from pyspark.sql import functions as F
 from .common import split_among, staged
 from .components import components
 
-#: Word hashes that a worker remembers; sets and shingles that meet in a task; sets whose distances are kept for others.
-REMEMBERED, SETS, SHINGLES, HUBS = 200_000, 512, 1_500_000, 24
+#: Word hashes that a worker remembers, and bytes of such a word; sets and shingles that meet in a task; sets whose distances are kept for others.
+REMEMBERED, SHORT, SETS, SHINGLES, HUBS = 200_000, 64, 512, 1_500_000, 24
 #: From this similarity on blocks are large: those of fewer than WEAK shingles are left out, and frequent shingles don't
 #: matter. Below it blocks are small: only empty ones are left out, and frequent shingles are, see frequent().
 LARGE, WEAK = (9, 10), 3
 #: Documents of a batch and of all that hold a frequent shingle at least, and how many such shingles are sent to the tasks at most.
 OFTEN_HERE, OFTEN, FREQUENT = 3, 32, 100_000
-#: Documents whose shingles a task holds at a time.
-TOGETHER = 2500
+#: Documents, and bytes of their texts, whose shingles a task holds at a time; bytes of all texts whose postings make one bucket (they have about 0.6 bytes for one of text).
+TOGETHER, BYTES, BUCKET = 2500, 32 << 20, 64 << 20
 
 
 class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -87,26 +90,38 @@ def schemes(num: int, den: int) -> tuple[list[int], list[tuple[int, int]]]:
 def signatures(h: np.ndarray, num: int, den: int, often: np.ndarray | None = None) -> np.ndarray:
     """The index lists of a set: one number for each block that it is posted under.
 
-    Shingles in often (sorted) fill no block. That loses no link, whatever they are: without them linked sets differ
-    in no more shingles than before, so they still agree on a block.
+    Under a scheme whose linked sets are equal a set is posted nowhere: its digest is the whole answer. Two other linked sets
+    agree on more blocks than are spare. If one of these holds a shingle, both post it; else both hold shingles in so few
+    blocks that they post the empty ones too. Shingles in often (sorted) fill no block: without them linked sets differ in
+    no more shingles than before. A set that is left with so few blocks is posted by all its shingles as well.
     """
     bounds, plans = schemes(num, den)
     own = int(np.searchsorted(bounds, len(h), side="right")) - 1
-    out = []
-    if often is not None and len(often):
-        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-        h = h[often[at] != h]
+    if often is not None and not len(often):
+        often = None
+    if often is not None:
+        rare = h[often[np.minimum(np.searchsorted(often, h), len(often) - 1)] != h]
+    out = [np.zeros(0, np.uint64)]
     for scheme in (own, own + 1):
         blocks, spare = plans[scheme]
-        at = ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-        held = np.bincount(at, minlength=blocks)
-        sums = np.zeros(blocks, np.uint64)
-        np.add.at(sums, at, mixed(h))
-        keep = held >= (1 if not _large(num, den) else WEAK if len(h) >= WEAK * blocks else 2)
-        if (~keep).sum() > spare:
-            keep[:] = True
-        named = np.flatnonzero(keep)
-        out.append(mixed(sums[named] ^ mixed(named.astype(np.uint64) + np.uint64(scheme << 40))))
+        differ = blocks - 1 - spare
+        if not differ:
+            continue
+        for kind, x in enumerate((h,) if often is None else (rare, h)):
+            at = ((x >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+            held = np.bincount(at, minlength=blocks)
+            sums = np.zeros(blocks, np.uint64)
+            np.add.at(sums, at, mixed(x))
+            few = (held > 0).sum() <= differ
+            keep = held >= (1 if not _large(num, den) else WEAK if len(x) >= WEAK * blocks else 2)
+            if (~keep).sum() > spare:
+                keep = held > 0
+            if few and x is h:
+                keep[:] = True
+            named = np.flatnonzero(keep)
+            out.append(mixed(sums[named] ^ mixed(named.astype(np.uint64) + np.uint64(scheme << 40 | kind << 60))))
+            if not few:
+                break
     return np.concatenate(out).astype(np.int64)
 
 
@@ -180,9 +195,16 @@ def links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, n
 
 
 def _slices(batches) -> Iterator:
+    """Parts of TOGETHER rows and BYTES of text (the last column) at most, or one row."""
+    import pyarrow.compute as pc
+
     for b in batches:
-        for at in range(0, b.num_rows, TOGETHER):
-            yield b.slice(at, TOGETHER)
+        size, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < b.num_rows:
+            to = int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES, side="right"))
+            to = min(at + TOGETHER, max(at + 1, to))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def _digests(width: int, num: int, den: int, buckets: int, often: np.ndarray | None):
@@ -310,7 +332,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, width: int = 5, num: i
     are documents of their own; an empty table gives an empty result. Other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(256, -(-size // BUCKET))
     shape = "doc_id long, n_shingles long, digest binary, bucket int, posted binary, met binary"
     often = None if _large(num, den) else frequent(texts, width)
     found = staged(spark, texts.mapInArrow(_digests(width, num, den, buckets, often), shape))
