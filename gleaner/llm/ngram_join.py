@@ -3,7 +3,7 @@
 Index level: the shingles of a set fall into blocks by position (a hash of the shingle, as many blocks as two linked
 sets of that size can differ in, and some more), and an index list holds the sets that agree on a whole block at one
 position; everything else in that block's lists is skipped without being read. Two linked sets agree on at least one
-block, so nothing is lost. Sets so small that linked ones are equal meet by their digest and are in no list. Blocks that
+block, so nothing is lost. Sets so small that linked ones are equal are one block. Blocks that
 hold hardly any shingle select badly and are left out where the spare blocks allow that; where blocks are small,
 frequent shingles are too. Answer level: candidate sets meet in bounded blocks; the answer of a set is derived from the computed
 distances of a similar set, since Jaccard distance is a metric, and only pairs that the triangle inequality leaves
@@ -90,7 +90,7 @@ def schemes(num: int, den: int) -> tuple[list[int], list[tuple[int, int]]]:
 def signatures(h: np.ndarray, num: int, den: int, often: np.ndarray | None = None) -> np.ndarray:
     """The index lists of a set: one number for each block that it is posted under.
 
-    Under a scheme whose linked sets are equal a set is posted nowhere: its digest is the whole answer. Two other linked sets
+    Under a scheme whose linked sets are equal the whole set is one block. Two other linked sets
     agree on more blocks than are spare. If one of these holds a shingle, both post it; else both hold shingles in so few
     blocks that they post the empty ones too. Shingles in often (sorted) fill no block: without them linked sets differ in
     no more shingles than before. A set that is left with so few blocks is posted by all its shingles as well.
@@ -106,6 +106,8 @@ def signatures(h: np.ndarray, num: int, den: int, often: np.ndarray | None = Non
         blocks, spare = plans[scheme]
         differ = blocks - 1 - spare
         if not differ:
+            if scheme == own:
+                out.append(mixed(np.array([mixed(h).sum()], np.uint64) ^ mixed(np.array([scheme << 40], np.uint64))))
             continue
         for kind, x in enumerate((h,) if often is None else (rare, h)):
             at = ((x >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
