@@ -222,7 +222,7 @@ def parse(html: str | None, low: frozenset = frozenset(), spared: frozenset = fr
 
 def host(url: Column) -> Column:
     """The host that a URL names, in lower case; empty if there is none."""
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\\[]*)", 1), F.lit("")))
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]*)", 1), F.lit("")))
 
 
 def different(pages: DataFrame) -> DataFrame:
