@@ -30,11 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: cuts lineage, and every later use sees the same rows."""
+def staged_at(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    """As staged(), and the folder."""
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the shared folder and read again: cuts lineage, and every later use sees the same rows."""
+    return staged_at(spark, df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of staged_at() that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def unit_interval(text: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, staged, unit_interval
 
-#: Cells of one size bucket in a source; with at most 8 buckets for each bit of a size, a source has at most 64 * 8 * 64 cells.
-SPLITS = 64
+#: Cells of one size bucket in a source for every ROWS rows of the table; with at most 8 buckets for each bit of a size, a source has at most 64 * 8 times as many.
+SPLITS, ROWS = 64, 6_400_000
 
 
 def size_bucket(size: Column) -> Column:
@@ -55,6 +55,8 @@ def mix_sources(
     gives an empty result; sources without words have target 0 and nothing is taken. With whole, the result has the
     columns of docs and copies instead; names that start with two underscores are used inside.
     """
+    id_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    more = max(1, -(-docs.count() // ROWS))
     sized = (
         docs.select(
             "doc_id",
@@ -64,33 +66,31 @@ def mix_sources(
         ).withColumns(
             {
                 "bucket": size_bucket(F.col("size")),
-                "part": (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int") % SPLITS),
+                "part": F.conv(F.substring(id_hash, 1, 2), 16, 10).cast("int") % SPLITS,
+                "sub": (F.conv(F.substring(id_hash, 3, 8), 16, 10).cast("long") % more).cast("int"),
+                "key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),  # never null, so that the window and the join share a shuffle
             }
         )
     )
     if not whole:
         sized = staged(spark, sized)
-    cell = ["source", "bucket", "part"]
-    cells = sized.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    cell = ["key", "bucket", "part", "sub"]
+    cells = sized.groupBy("source", *cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    before = Window.partitionBy("source").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("bucket", "part", "sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .alias("c")
         .join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-        .select("c.source", "c.bucket", "c.part", "start", "source_size", "target")
+        .select(*(f"c.{x}" for x in cell), "start", "source_size", "target")
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit_interval(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00"))))
-    inside = Window.partitionBy("s.source", "s.bucket", "s.part").orderBy("size", F.col("doc_id").asc_nulls_last(), "__tie")
+    inside = Window.partitionBy(*cell).orderBy("size", F.col("doc_id").asc_nulls_last(), "__tie")
     drawn = (
-        sized.alias("s")
-        .withColumn("rank", F.row_number().over(inside))
-        .join(
-            starts.alias("b"),
-            F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.bucket") == F.col("b.bucket")) & (F.col("s.part") == F.col("b.part")),
-        )
-        .select(F.col("s.doc_id"), F.col("s.source"), "__row", "size", "source_size", "target", (F.col("start") + F.col("rank")).alias("rank"))
+        sized.withColumn("rank", F.row_number().over(inside))
+        .join(starts, cell)
+        .select("doc_id", "source", "__row", "size", "source_size", "target", (F.col("start") + F.col("rank")).alias("rank"))
         .withColumn("rate", rate)
         .withColumn("offset", offset)
         .withColumn("copies", F.least(F.floor(F.col("offset") + F.col("rate") * F.col("rank")) - F.floor(F.col("offset") + F.col("rate") * (F.col("rank") - 1)), F.ceil("rate")))

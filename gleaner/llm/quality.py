@@ -108,15 +108,15 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     return fit(np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), stands_for=(bad, good))
 
 
-def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs(doc_id, text, ...) with score (0 to 1; 0.5 at the threshold).
+def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name: str = "score") -> DataFrame:
+    """docs(doc_id, text, ...) with a column name: the score (0 to 1; 0.5 at the threshold).
 
     A score depends on the text alone. Null, empty and blank texts get the score of no features; equal texts get
     equal scores; without labels of both classes every score is 0.5; an empty table gives an empty result. Other
-    columns stay, but for one named score.
+    columns stay, but for one of that name.
     """
     w, threshold = learn(spark, docs, labels, sample)
-    kept = docs.drop("score")
+    kept = docs.drop(name)
     at = kept.columns.index("text")
 
     def run(batches) -> Iterator:
@@ -125,8 +125,8 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sampl
         for b in batches:
             raw = np.array([features(t) @ w for t in b.column(at).to_pylist()]) - threshold
             score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, name])
 
     from pyspark.sql import types as T
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
