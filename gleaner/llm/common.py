@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release_memory() -> None:
+    """Gives what this process has freed back to the system (glibc keeps it otherwise): a Python worker that waits stays small."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def unit_interval(text: Column) -> Column:
     """A number in [0, 1) from the first 13 hexadecimal digits of the MD5 of text."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))

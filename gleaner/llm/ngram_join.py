@@ -20,18 +20,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import split_among, staged
+from .common import release_memory, split_among, staged
 from .components import components
 
 #: Word hashes that a worker remembers, and bytes of such a word; sets and shingles that meet in a task; sets whose distances are kept for others.
-REMEMBERED, SHORT, SETS, SHINGLES, HUBS = 200_000, 64, 512, 1_500_000, 24
+REMEMBERED, SHORT, SETS, SHINGLES, HUBS = 100_000, 64, 512, 1_000_000, 24
 #: From this similarity on blocks are large: those of fewer than WEAK shingles are left out, and frequent shingles don't
 #: matter. Below it blocks are small: only empty ones are left out, and frequent shingles are, see frequent().
 LARGE, WEAK = (9, 10), 3
 #: Documents of a batch and of all that hold a frequent shingle at least, and how many such shingles are sent to the tasks at most.
 OFTEN_HERE, OFTEN, FREQUENT = 3, 32, 100_000
 #: Documents, and bytes of their texts, whose shingles a task holds at a time; bytes of all texts whose postings make one bucket (they have about 0.6 bytes for one of text).
-TOGETHER, BYTES, BUCKET = 2500, 32 << 20, 64 << 20
+TOGETHER, BYTES, BUCKET = 2500, 8 << 20, 64 << 20
 
 
 class Words(dict):
@@ -207,6 +207,7 @@ def _slices(batches) -> Iterator:
             to = min(at + TOGETHER, max(at + 1, to))
             yield b.slice(at, to - at)
             at = to
+        release_memory()
 
 
 def _digests(width: int, num: int, den: int, buckets: int, often: np.ndarray | None):
@@ -223,8 +224,8 @@ def _digests(width: int, num: int, den: int, buckets: int, often: np.ndarray | N
         for b in _slices(batches):
             ids = b.column(0).to_pylist()
             n, digest, lists, nodes, seen = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
-            for i, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                h = shingles(text, width, words)
+            for i, text in zip(ids, b.column(1), strict=True):
+                h = shingles(text.as_py(), width, words)
                 n.append(len(h))
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 if i is not None and len(h) and digest[-1] not in seen:
@@ -257,8 +258,12 @@ def frequent(texts: DataFrame, width: int) -> np.ndarray:
 
         words = Words()
         for b in _slices(batches):
-            found = np.concatenate([np.zeros(0, np.uint64), *{h.tobytes(): h for h in (shingles(t, width, words) for t in b.column(0).to_pylist())}.values()])
-            which, n = np.unique(found, return_counts=True)
+            sets = {hashlib.blake2b(h.tobytes(), digest_size=16).digest(): h for h in (shingles(t.as_py(), width, words) for t in b.column(0))}
+            found = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
+            del sets
+            found.sort()
+            start = np.flatnonzero(np.concatenate([np.ones(min(1, len(found)), bool), found[1:] != found[:-1]]))
+            which, n = found[start], np.diff(np.append(start, len(found)))
             often = n >= OFTEN_HERE
             yield pa.RecordBatch.from_arrays([pa.array(which[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
 
@@ -307,6 +312,8 @@ def _candidates(table):
             out.append(np.frombuffer(blob, np.int64).reshape(-1, 2))
     out.append(_meet(np.concatenate(sigs), np.concatenate(nodes))[2])
     pairs = np.unique(np.concatenate(out), axis=0)
+    del sigs, nodes, out
+    release_memory()
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -316,10 +323,12 @@ def _sets(width: int):
 
         words = Words()
         for b in batches:
-            found = [shingles(t, width, words).astype(np.int64) for t in b.column(1).to_pylist()]
+            found = [shingles(t.as_py(), width, words).astype(np.int64) for t in b.column(1)]
             at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            del found
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["node", "set"])
+            release_memory()
 
     return run
 
@@ -385,6 +394,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, width: int = 5, num: i
                 least[r] = min(least.get(r, node[i]), node[i])
             out += [(node[i], least[r], c) for i, r, c in zip(rows, root, count, strict=True) if c]
         cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+        release_memory()
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
 
     found = staged(spark, placed.join(sets, "node").groupBy("bin").applyInArrow(meet, "a long, b long, links long"))
