@@ -20,13 +20,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: The pieces of byte-level BPE, in their published form.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 RUNS = {"L": regex.compile(r"\p{L}+"), "N": regex.compile(r"\p{N}+"), "S": regex.compile(r"\s+"), "P": regex.compile(r"[^\s\p{L}\p{N}]+")}
 #: A character of each class.
 PROXY = {"L": "a", "N": "1", "S": "\t", "P": "!"}
 #: Characters of text that are fed at a time; pieces that are remembered, and characters of such a piece; a piece that is longer than LONG is not held whole.
-BLOCK, REMEMBERED, SHORT, LONG = 1 << 16, 300_000, 64, 4096
+BLOCK, REMEMBERED, SHORT, LONG = 1 << 16, 100_000, 64, 4096
+#: Documents, and bytes of their texts, whose ids a task holds at a time.
+TOGETHER, BYTES = 500, 4 << 20
 NONE = 1 << 62
 
 
@@ -321,7 +325,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str) -> DataFra
         import pyarrow as pa
 
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in slices(batches, at, TOGETHER, BYTES):
             offsets, parts = [0], []
             for text in batch.column(at).to_pylist():
                 blocks = [np.array(x.split(","), np.int32) for x in encoder.encode(text or "")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,21 @@ def release_memory() -> None:
         trim(0)
 
 
+def slices(batches, at: int, rows: int, size: int) -> Iterator:
+    """Parts of Arrow batches of so many rows, and so many bytes in the text column at, at most, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends, start = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while start < b.num_rows:
+            to = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
+            to = min(start + rows, max(start + 1, to))
+            yield b.slice(start, to - start)
+            start = to
+        release_memory()
+
+
 def unit_interval(text: Column) -> Column:
     """A number in [0, 1) from the first 13 hexadecimal digits of the MD5 of text."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))

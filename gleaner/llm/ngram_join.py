@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release_memory, split_among, staged
+from .common import release_memory, slices, split_among, staged
 from .components import components
 
 #: Word hashes that a worker remembers, and bytes of such a word; sets and shingles that meet in a task; sets whose distances are kept for others.
@@ -198,16 +198,8 @@ def links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, n
 
 def _slices(batches) -> Iterator:
     """Parts of TOGETHER rows and BYTES of text (the last column) at most, or one row."""
-    import pyarrow.compute as pc
-
     for b in batches:
-        size, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
-        while at < b.num_rows:
-            to = int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES, side="right"))
-            to = min(at + TOGETHER, max(at + 1, to))
-            yield b.slice(at, to - at)
-            at = to
-        release_memory()
+        yield from slices([b], b.num_columns - 1, TOGETHER, BYTES)
 
 
 def _digests(width: int, num: int, den: int, buckets: int, often: np.ndarray | None):
