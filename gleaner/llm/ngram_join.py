@@ -24,14 +24,14 @@ from .common import release_memory, slices, split_among, staged
 from .components import components
 
 #: Word hashes that a worker remembers, and bytes of such a word; sets and shingles that meet in a task; sets whose distances are kept for others.
-REMEMBERED, SHORT, SETS, SHINGLES, HUBS = 100_000, 64, 512, 1_000_000, 24
+REMEMBERED, SHORT, SETS, SHINGLES, HUBS = 100_000, 64, 512, 1_500_000, 24
 #: From this similarity on blocks are large: those of fewer than WEAK shingles are left out, and frequent shingles don't
 #: matter. Below it blocks are small: only empty ones are left out, and frequent shingles are, see frequent().
 LARGE, WEAK = (9, 10), 3
 #: Documents of a batch and of all that hold a frequent shingle at least, and how many such shingles are sent to the tasks at most.
 OFTEN_HERE, OFTEN, FREQUENT = 3, 32, 100_000
 #: Documents, and bytes of their texts, whose shingles a task holds at a time; bytes of all texts whose postings make one bucket (they have about 0.6 bytes for one of text).
-TOGETHER, BYTES, BUCKET = 2500, 8 << 20, 64 << 20
+TOGETHER, BYTES, BUCKET = 2500, 16 << 20, 64 << 20
 
 
 class Words(dict):
@@ -352,14 +352,23 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, width: int = 5, num: i
     clusters = components(spark, met)
 
     members = staged(spark, clusters.join(equal.select("node", "copies", "n"), "node"))
+    # A cluster that is small enough meets as a whole. Others fall into size classes, and a set meets the blocks of its own and
+    # the neighbouring classes only: sets of classes further apart can't be linked.
     weights = members.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    weights = weights.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / SETS), F.ceil(F.col("shingles") / SHINGLES)).cast("int"))
     total = weights.agg(F.sum("shingles")).first()[0] or 0
     bins = max(32, -(-total // (SHINGLES // 4)))
-    placed = members.join(weights.select("label", "blocks"), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = (F.col("sets") > SETS) | (F.col("shingles") > SHINGLES)
+    size_class = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in schemes(num, den)[0]]), lambda b: b <= F.col("n")))
+    classed = members.join(weights, "label").select("node", "label", "copies", "n", F.when(large, size_class).otherwise(0).cast("long").alias("class"))
+    parts = classed.groupBy("label", "class").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / SHINGLES)).cast("long").alias("blocks"))
+    parts = staged(spark, parts)
+    theirs = parts.select(F.col("label").alias("l"), F.col("class").alias("c"), F.col("blocks").alias("b"))
+    near = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda k: F.col("c") * (1 << 32) + k)
+    meets = parts.join(theirs, (F.col("label") == F.col("l")) & (F.abs(F.col("class") - F.col("c")) <= 1)).groupBy("label", "class", "blocks").agg(F.flatten(F.collect_list(near)).alias("others"))
+    placed = classed.join(meets, ["label", "class"]).withColumn("block", F.col("class") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks")))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    placed = placed.select("node", "label", "copies", "block", "blocks", low.alias("low"), high.alias("high"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("label", low, high), F.lit(1 << 40))).alias("bin"))
+    placed = placed.withColumn("alone", F.size("others") == 1).withColumn("other", F.explode("others"))
+    placed = placed.select("node", "label", "copies", "block", low.alias("low"), high.alias("high"), F.when(F.col("alone"), F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("label", low, high), F.lit(1 << 40))).alias("bin"))
 
     wanted = members.select(F.col("node").alias("doc_id"))
     kept = split_among(texts, "doc_id", wanted)[0].join(wanted.distinct(), "doc_id")
