@@ -43,7 +43,7 @@ def _mapped(text: Column, table: dict[str, str]) -> Column:
 
 def fix_unit_separator_words(text: Column) -> Column:
     """Words that hold U+001F looked up without their punctuation, in the case that they had; others stay."""
-    table = F.create_map(*[x for k, v in K.UNIT_SEPARATOR_WORDS.items() for x in (F.lit(k.replace("~", "\x1f")), F.lit(v))])
+    table = F.create_map(*[x for k, v in K.UNIT_SEPARATOR_WORDS.items() for x in (F.lit(k), F.lit(v))])
     marks = r"[\p{Punct}]"
 
     def one(part: Column) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 
+#: Rows of a rule table that every text is compared with.
+RULES_MOST = 10_000
+
 
 def rule_table(spark: SparkSession, rules: dict = K.RULES) -> DataFrame:
     """rule_id, label, floor_rank, groups, group_no, alt_no, pattern: a row for each alternative."""
@@ -32,8 +35,10 @@ def match_rules(texts: DataFrame, text: str = "text", rules: dict = K.RULES) ->
 
 
 def match_rules_by_join(texts: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, rule_id of each rule that fires: the same over a rule table, which may be any; small, so it is broadcast by size."""
-    hits = texts.select(key, text).join(rules, F.expr(f"regexp_like({text}, pattern)"))
+    """key, rule_id of each rule that fires: the same over a rule table of RULES_MOST rows at most, which is checked, so it is broadcast."""
+    if rules.limit(RULES_MOST + 1).count() > RULES_MOST:
+        raise ValueError(f"more than {RULES_MOST} alternatives of rules")
+    hits = texts.select(key, text).join(F.broadcast(rules), F.expr(f"regexp_like({text}, pattern)"))
     groups = hits.groupBy(key, "rule_id", "groups").agg(F.countDistinct("group_no").alias("n"))
     return groups.where("n = groups").select(key, "rule_id")
 
@@ -59,15 +64,15 @@ def assess_risk(rows: DataFrame, text: str = "text", domains: str = "domains", s
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     factor = lambda code, why, rank: F.struct(F.lit(code).alias("code"), why.alias("description"), F.lit(K.URGENCIES[rank]).alias("contributed"))
     parts = []
-    for code, said, terms, rank in (("SEVERITY_LANGUAGE", "Described with severity language", K.SEVERITY_TERMS, 2), ("ACUTE_ONSET", "Acute or very recent onset", K.ACUTE_TERMS, 1), ("VULNERABLE_GROUP", "Higher-risk group mentioned", K.VULNERABLE_TERMS, 1)):
+    for code, said, terms, rank in (("SEVERITY_LANGUAGE", K.FACTOR_SEVERITY, K.SEVERITY_TERMS, 2), ("ACUTE_ONSET", K.FACTOR_ONSET, K.ACUTE_TERMS, 1), ("VULNERABLE_GROUP", K.FACTOR_GROUP, K.VULNERABLE_TERMS, 1)):
         hit = _first_term(low, terms)
         parts.append((hit.isNotNull(), factor(code, F.concat(F.lit(f"{said} ('"), hit, F.lit("')")), rank), rank))
     met = F.array_sort(F.array_intersect(F.coalesce(F.col(domains), F.array().cast("array<string>")), F.array(*map(F.lit, K.EMERGENCY_DOMAINS))))
-    parts.append((F.size(met) > 0, factor("EMERGENCY_DOMAIN", F.concat(F.lit("Query matched emergency domain(s): "), F.array_join(met, ", ")), 1), 1))
+    parts.append((F.size(met) > 0, factor("EMERGENCY_DOMAIN", F.concat(F.lit(K.FACTOR_DOMAIN), F.array_join(met, ", ")), 1), 1))
     own = F.array_compact(F.array(*[F.when(c, f) for c, f, _ in parts]))
-    flags = F.transform("matches", lambda m: F.struct(F.concat(F.lit("RED_FLAG:"), m["rule_id"]).alias("code"), F.concat(F.lit("Red flag — "), m["label"]).alias("description"), urgency_name(m["floor_rank"]).alias("contributed")))
+    flags = F.transform("matches", lambda m: F.struct(F.concat(F.lit("RED_FLAG:"), m["rule_id"]).alias("code"), F.concat(F.lit(K.FACTOR_FLAG), m["label"]).alias("description"), urgency_name(m["floor_rank"]).alias("contributed")))
     every = F.concat(own, flags)
-    none = F.array(factor("NO_ESCALATING_FEATURES", F.lit("No urgent warning signs identified in the description"), 0))
+    none = F.array(factor("NO_ESCALATING_FEATURES", F.lit(K.FACTOR_NONE), 0))
     assessed = F.greatest(*[F.when(c, F.lit(r)).otherwise(0) for c, _, r in parts])
     base = reduce(lambda w, kv: w.when(F.col(state) == kv[0], kv[1]), list(K.CONFIDENCE_BASE.items())[1:], F.when(F.col(state) == "SUFFICIENT", K.CONFIDENCE_BASE["SUFFICIENT"])).otherwise(0.30)
     confidence = F.bround(F.least(F.lit(0.95), base + F.least(F.col(support), F.lit(5)) * 0.02 + F.when(F.size("matches") > 0, 0.10).otherwise(0.0)), 2)

@@ -26,16 +26,19 @@ def unit(v: Column) -> Column:
     return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
 
 
+#: Rows of a block.
+ROWS = 4096
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 25, key: str = "vec_id", block: int = 1024) -> DataFrame:
     """query_id, rank, key, score: the k largest dot products with each of queries(query_id, embedding), in blocks.
 
-    Queries are numbered and met in blocks of bounded size; a task keeps k rows of a query, never all scores.
+    Queries and rows meet in blocks of bounded size; a task keeps k rows of a query, never all scores.
     """
-    spark = vectors.sparkSession
     n = queries.count()
     parts = max(1, -(-n // block))
     blocks = queries.select("query_id", F.col("embedding").alias("wanted")).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    across = max(8, spark.sparkContext.defaultParallelism)
+    across = max(1, -(-vectors.count() // ROWS))
     left = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     right = vectors.select(key, "embedding").withColumn("at", F.pmod(F.xxhash64(key), F.lit(across)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 

@@ -76,7 +76,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12
 
 
 def _second(spark, d):
-    hits = _asked(spark, d).join(_chunks(spark, d), F.expr("contains(text, query)")).select("query_id", "chunk_id")
+    hits = lexical.holding(_chunks(spark, d), _asked(spark, d)).select("query_id", "chunk_id")
     by = Window.partitionBy("query_id").orderBy(F.col("chunk_id").desc())
     return hits.withColumn("rank", F.row_number().over(by)).where("rank <= 25").withColumn("score", F.lit(1.0))
 
@@ -171,7 +171,7 @@ def bootstrap_interval(spark, d):
 
 @query("WITH " + BM25 + ", rl AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT query_id, CAST(count(*) AS BIGINT) AS relevant, CAST(count(bm.chunk_id) AS BIGINT) AS found, count(*) = count(bm.chunk_id) AS complete FROM rl LEFT JOIN (SELECT * FROM bm WHERE rank <= 5) bm USING (query_id, chunk_id) GROUP BY query_id HAVING count(*) > 1")
 def fully_retrieved(spark, d):
-    relevant = _asked(spark, d).join(_chunks(spark, d), F.expr("contains(text, query)")).select("query_id", "chunk_id")
+    relevant = lexical.holding(_chunks(spark, d), _asked(spark, d)).select("query_id", "chunk_id")
     return evaluate.fully_retrieved(lexical.search(_chunks(spark, d), _asked(spark, d)), relevant)
 
 
@@ -180,7 +180,7 @@ u AS (SELECT 'bm25' AS stage, query_id, chunk_id, rank FROM bm UNION ALL SELECT
 m AS (SELECT stage, z.query_id, coalesce(sum(CASE WHEN rl.chunk_id IS NOT NULL THEN 1 ELSE 0 END) FILTER (WHERE u.rank <= 5), 0) / n::DOUBLE AS recall FROM z JOIN u USING (query_id) LEFT JOIN rl ON rl.query_id = u.query_id AND rl.chunk_id = u.chunk_id GROUP BY stage, z.query_id, n)
 SELECT stage, CAST(count(*) AS BIGINT) AS queries, round(avg(recall), 6) AS recall FROM m GROUP BY stage""")
 def ablation(spark, d):
-    relevant = _asked(spark, d).join(_chunks(spark, d), F.expr("contains(text, query)")).select("query_id", "chunk_id")
+    relevant = lexical.holding(_chunks(spark, d), _asked(spark, d)).select("query_id", "chunk_id")
     stages = {"bm25": lexical.search(_chunks(spark, d), _asked(spark, d)), "fused": fusion.rank(_fused(spark, d), score="rrf_score")}
     return evaluate.ablation(stages, relevant, relevant.groupBy("query_id").agg(F.count("*").alias("n_rel")), [5]).select("stage", "queries", F.round("recall", 6).alias("recall"))
 
@@ -326,7 +326,7 @@ def decisions(spark, d):
 
 
 def _pack(spark, d):
-    hits = _asked(spark, d).join(_chunks(spark, d), F.expr("contains(text, query)")).select("query_id", "chunk_id")
+    hits = lexical.holding(_chunks(spark, d), _asked(spark, d)).select("query_id", "chunk_id")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where("rank <= 5")
     return ev.pack(ranked.withColumns({"rrf_score": 1.0 / (60 + F.col("rank")), "rerank_score": F.lit(None).cast("double")}), _chunks(spark, d))
 
@@ -439,7 +439,11 @@ def fixed_chunks(spark, d):
     return chunking.split_units(chunking.units(chunking.text_blocks(_t(spark, d, "documents")), sections=False), "fixed_size", 140, 0.15).select("document_id", "unit_no", "piece_no", "text")
 
 
-@query()
+@query("WITH RECURSIVE " + VEC + """, c AS (SELECT query_id, CAST(rank AS BIGINT) AS rank, vr.vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM vr JOIN embeddings USING (vec_id) WHERE rank <= 25),
+g AS (SELECT query_id, rank, vec_id, true AS stays, [e] AS kept FROM c WHERE rank = 1 UNION ALL
+ SELECT query_id, rank, vec_id, NOT near, CASE WHEN near THEN kept ELSE list_append(kept, e) END FROM
+ (SELECT c.*, g.kept, len(list_filter(g.kept, lambda y: list_dot_product(y, c.e) > 0.3)) > 0 AS near FROM g JOIN c ON c.query_id = g.query_id AND c.rank = g.rank + 1))
+SELECT query_id, vec_id, rank FROM g WHERE stays""")
 def near_copies_dropped(spark, d):
     ranked = _near(spark, d).join(_t(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
     return fusion.drop_near_copies(ranked, "vec_id", 0.3).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
@@ -451,7 +455,11 @@ def reranked(spark, d):
     return rerank.rerank(found.select("query_id", "query", "rank", "chunk_id", "text"), seconds=3600.0)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6::DOUBLE AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT key, event_id, "at", n, true AS accepted, CAST(NULL AS INT) AS retry_after, ["at"] AS held FROM e WHERE n = 1 UNION ALL
+ SELECT key, event_id, "at", n, len(h) < 2, CASE WHEN len(h) >= 2 THEN greatest(1, CAST(trunc(h[1] + 86400 - "at") AS INT) + 1) END, CASE WHEN len(h) < 2 THEN list_append(h, "at") ELSE h END FROM
+ (SELECT e.*, list_filter(g.held, lambda t: t >= e."at" - 86400) AS h FROM g JOIN e ON e.key = g.key AND e.n = g.n + 1))
+SELECT key, event_id, "at", accepted, retry_after FROM g""")
 def rate_limited(spark, d):
     events = _t(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").__truediv__(1e6).alias("at"))
     return limiter.limit_batch(events, 2, 86400.0)
@@ -490,3 +498,38 @@ def answers(spark, d):
     asked = _talk(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     chunks = _chunks(spark, d).withColumn("domains", F.array(F.lit("emergency")))
     return answer_batch(asked, chunks, {"emergency": ["chest", "bleeding", "speech"], "primary-care": ["cough", "mild"]})
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
+def content_digests(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{v}'" for w, v in K.SEVERITIES.items()) + " ELSE 'unknown' END AS severity FROM conversations")
+def severity_levels(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", X.severity(F.col("text")).alias("severity"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.70 THEN 'strong' WHEN l_discount * 10 >= 0.45 THEN 'moderate' ELSE 'weak' END AS band FROM lineitem")
+def confidence_bands(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.confidence_band(F.col("l_discount") * 10).alias("band"))
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(split_part(f, ',', 1)), ''), source, 'unknown') AS client FROM (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN ' ' || lang || ' , proxy' WHEN 1 THEN ' ,proxy' END AS f FROM documents)")
+def client_keys(spark, d):
+    forwarded = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "lang", F.lit(" , proxy"))).when(F.col("doc_id") % 3 == 1, " ,proxy")
+    return _t(spark, d, "documents").select("doc_id", X.client_key(forwarded, F.col("source")).alias("client"))
+
+
+@query("""SELECT r_regionkey, '| key | name |\n| --- | --- |\n' || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', '\n' ORDER BY n_nationkey) AS markdown,
+(2 + count(*) + count(n_name)) / (2 + 2 * count(*))::DOUBLE AS filled FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""".replace("'\\n'", "chr(10)"))
+def region_tables(spark, d):
+    row = F.array(F.col("n_nationkey").cast("string"), F.col("n_name"))
+    cells = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]))
+    tables = _t(spark, d, "region").join(_t(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(cells.alias("cells"))
+    return tables.select("r_regionkey", X.table_markdown(F.col("cells")).alias("markdown"), X.filled_share(F.col("cells")).alias("filled"))
+
+
+@query("WITH l AS (SELECT doc_id, len(regexp_extract_all(text, '[\\x{0400}-\\x{04FF}]')) AS ru, len(regexp_extract_all(text, '\\p{L}')) AS n FROM documents) SELECT doc_id, CASE WHEN ru > 0 AND ru >= n * 0.5 THEN 'Russian' END AS language FROM l")
+def script_languages(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.script_language(F.col("text")).alias("language"))
