@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ CONFIGS = {
     "A": ("section_pages", 600, 0.15), "B": ("section_pages", 350, 0.20), "S1": ("section_aware", 140, 0.15), "S2": ("section_aware", 210, 0.15), "S3": ("section_aware", 280, 0.15),
     "S4": ("section_aware", 420, 0.15), "S5": ("fixed_size", 140, 0.15), "S6": ("recursive", 140, 0.15), "S7": ("section_aware", 210, 0.0),
 }
+# Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
@@ -62,13 +63,13 @@ def tokens(text: str) -> int:
     return max(1, round(words(text) * 1.3)) if text else 0
 
 
-def pack(parts: list[str], limit: int, overlap: float) -> Iterator[str]:
+def pack(parts: list[str], limit: int, overlap: float, size: Callable[[str], int] = tokens) -> Iterator[str]:
     """Parts in runs of at most limit tokens; a run starts with the end of the one before, up to its share overlap.
 
     A part above the limit stands alone and passes nothing on. What is carried must leave room: if the next part
     doesn't fit behind it, that run is closed too, with a carry of its own.
     """
-    sized = [(p, tokens(p)) for p in parts]
+    sized = [(p, size(p)) for p in parts]
     run: list[tuple[str, int]] = []
 
     def total() -> int:
@@ -93,43 +94,46 @@ def pack(parts: list[str], limit: int, overlap: float) -> Iterator[str]:
         yield " ".join(p for p, _ in run)
 
 
-def cascade(text: str, limit: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+def cascade(text: str, limit: int, separators: tuple[str, ...] = SEPARATORS, size: Callable[[str], int] = tokens) -> list[str]:
     """Pieces of at most limit tokens by the coarsest separator that splits; separators are dropped."""
     if not text.strip():
         return []
-    if tokens(text) <= limit or not separators:
+    if size(text) <= limit or not separators:
         return [text]
     pieces = [p for p in text.split(separators[0]) if p.strip()]
     if len(pieces) < 2:
-        return cascade(text, limit, separators[1:])
-    return [x for p in pieces for x in ([p] if tokens(p) <= limit else cascade(p, limit, separators[1:]))]
+        return cascade(text, limit, separators[1:], size)
+    return [x for p in pieces for x in ([p] if size(p) <= limit else cascade(p, limit, separators[1:], size))]
 
 
-def split_unit(text: str, strategy: str, limit: int, overlap: float) -> list[str]:
+def split_unit(text: str, strategy: str, limit: int, overlap: float, size: Callable[[str], int] = tokens) -> list[str]:
     import re
 
     if not text.strip():
         return []
-    if strategy in ("section_pages", "recursive") and tokens(text) <= limit:
+    if strategy in ("section_pages", "recursive") and size(text) <= limit:
         return [text]
     if strategy == "recursive":
-        parts = cascade(text, limit)
+        parts = cascade(text, limit, size=size)
     else:
         parts = [s.strip() for p in text.split("\n\n") for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", p) if s.strip()]
-    if strategy != "section_pages" and sum(map(tokens, parts)) <= limit:
+    if strategy != "section_pages" and sum(map(size, parts)) <= limit:
         return [" ".join(parts)] if parts else []
-    return list(pack(parts, limit, overlap))
+    return list(pack(parts, limit, overlap, size))
 
 
-def split_units(found: DataFrame, strategy: str, limit: int, overlap: float) -> DataFrame:
-    """A row for each piece of each unit, with piece_no; packing is an order-dependent fold, done per unit in Arrow batches."""
+def split_units(found: DataFrame, strategy: str, limit: int, overlap: float, size: Callable[[str], int] = tokens) -> DataFrame:
+    """A row for each piece of each unit, with piece_no; packing is an order-dependent fold, done per unit in Arrow batches.
+
+    size counts a text's tokens: by the rule, or with a tokenizer that is given.
+    """
     at, kind = found.columns.index("text"), found.columns.index("kind")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            pieces = [[t] if k == "table" else split_unit(t or "", strategy, limit, overlap) for t, k in zip(b.column(at).to_pylist(), b.column(kind).to_pylist(), strict=True)]
+            pieces = [[t] if k == "table" else split_unit(t or "", strategy, limit, overlap, size) for t, k in zip(b.column(at).to_pylist(), b.column(kind).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pieces, pa.list_(pa.string()))], names=[*b.schema.names, "pieces"])
 
     schema = T.StructType([*found.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType()))])

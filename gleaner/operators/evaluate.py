@@ -142,3 +142,13 @@ def generation_metrics(runs: DataFrame) -> DataFrame:
         F.count_if(refused & F.col("sufficiency").isNull()).alias("refused_before_retrieval"), F.count_if(refused & F.col("sufficiency").isin("INSUFFICIENT", "OUT_OF_SCOPE")).alias("refused_by_gate"),
         F.count_if(refused & F.col("sufficiency").isin("SUFFICIENT", "PARTIAL")).alias("refused_after_generation"), F.sum("statements").alias("statements"), F.sum("dropped").alias("dropped"),
     )
+
+
+def gate_scores(packed: DataFrame) -> DataFrame:
+    """query_id, score of pack_summary's rows: the signal that the sufficiency gate would look at."""
+    return packed.select("query_id", F.coalesce("top_rerank_score", "top_rrf_score").alias("score"))
+
+
+def best_configuration(values: DataFrame, group: str, value: str) -> DataFrame:
+    """The group of largest mean, the first by name on a tie."""
+    return values.groupBy(group).agg(F.avg(value).alias("mean")).orderBy(F.round("mean", 12).desc(), group).limit(1)

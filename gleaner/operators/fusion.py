@@ -62,14 +62,35 @@ def merge_variants(runs: DataFrame, key: str = "chunk_id", k: int = RRF) -> Data
     return merged.select("query_id", key, *[F.col(f"best.{c}").alias(c) for c in rest if c not in ("rank", "variant", "boosted_score")], F.col("fused").alias("boosted_score"))
 
 
-def hybrid_search(dense: DataFrame, lexical: DataFrame, payload: DataFrame, predicted: DataFrame, key: str = "chunk_id", k: int = 10, near: bool = True) -> DataFrame:
-    """Fused, boosted, de-duplicated top k. payload(key, domains, content_hash, embedding) reaches dense hits only.
+def hybrid_search(dense: DataFrame, lexical: DataFrame, payload: DataFrame, predicted: DataFrame, key: str = "chunk_id", k: int = 10, near: bool = True, distinct: bool = True) -> DataFrame:
+    """Fused, boosted, de-duplicated top k (with distinct false no copy is dropped). payload(key, domains, content_hash, embedding) reaches dense hits only.
 
     predicted(query_id, predicted array<string>); without domains nothing is boosted and no hash is compared.
     """
     known = dense.select("query_id", key).join(payload, key)
     fused = fuse(dense, lexical, key).join(known, ["query_id", key], "left").join(predicted, "query_id", "left")
+    fused = fused.withColumn("content_hash", F.when(F.size("predicted") > 0, F.col("content_hash")))
     ranked = rank(boost(fused, F.col("domains"), F.col("predicted")), key)
+    if not distinct:
+        return ranked.where(F.col("rank") <= k)
     kept = drop_exact_copies(ranked)
     kept = drop_near_copies(kept, key) if near else kept
     return rank(kept.drop("rank"), key, k=k)
+
+
+def multi_query_search(asked: DataFrame, dense: DataFrame, lexical: DataFrame, payload: DataFrame, predicted: DataFrame, key: str = "chunk_id", k: int = 10, depth: int = 25, near: bool = True) -> DataFrame:
+    """Hybrid search of questions with variants: asked(query_id, variant), dense and lexical with a column variant.
+
+    A question with one variant is searched as by hybrid_search. The variants of another are each searched to depth without
+    dropping copies, merged by merge_variants and rid of equal hashes (near copies stay).
+    """
+    several = asked.groupBy("query_id").agg((F.countDistinct("variant") > 1).alias("__several"))
+    split = lambda rows, many: rows.join(several.where("__several" if many else "not __several").select("query_id"), "query_id", "left_semi")
+    one = hybrid_search(split(dense, False).drop("variant"), split(lexical, False).drop("variant"), payload, predicted, key, k, near)
+    pair = F.struct("query_id", "variant")
+    keyed = lambda rows: split(rows, True).withColumn("query_id", pair)
+    expected = asked.join(predicted, "query_id").select(pair.alias("query_id"), "predicted").distinct()
+    each = hybrid_search(keyed(dense), keyed(lexical), payload, expected, key, depth, distinct=False)
+    runs = each.select(F.col("query_id.variant").alias("variant"), F.col("query_id.query_id").alias("query_id"), *[c for c in each.columns if c != "query_id"])
+    merged = rank(merge_variants(runs, key), key)
+    return one.unionByName(rank(drop_exact_copies(merged).drop("rank"), key, k=k).select(*one.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import filled_share, is_boilerplate_heading, is_page_number, is_worksheet_rule, squeeze, table_markdown
+from ..functions.text import clean_line, filled_share, is_boilerplate_heading, is_page_number, is_worksheet_rule, squeeze, table_markdown
 
 BAND, SHARE, SLOT_LENGTH = 50.0, 0.30, 60
 NO_SECTION = "(no section detected)"
@@ -170,6 +170,13 @@ def clean_lines(lines: DataFrame, sections: DataFrame) -> DataFrame:
     return kept.join(sections.where("is_boilerplate").select("document_id", "page_number"), ["document_id", "page_number"], "left_anti")
 
 
+def clean_pages(lines: DataFrame, sections: DataFrame) -> DataFrame:
+    """document_id, page_number, lines: what clean_lines keeps, each line cleaned, words joined over breaks; a page without a line is dropped."""
+    kept = clean_lines(lines, sections).withColumn("text", clean_line(F.col("text"))).where(F.length("text") > 0)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    return kept.groupBy("document_id", "page_number").agg(ordered.alias("lines")).withColumn("lines", dehyphenate(F.col("lines")))
+
+
 def drop_counters(lines: DataFrame, sections: DataFrame) -> DataFrame:
     """document_id with the lines dropped as header or footer, as rules, and with boilerplate pages."""
     marked = mark_headers_footers(lines).join(sections.select("document_id", "page_number", "is_boilerplate"), ["document_id", "page_number"], "left")

@@ -60,3 +60,18 @@ def rerank_query(question, variants):
     from ..functions.text import latin_share
 
     return F.when((F.coalesce(latin_share(question), F.lit(1.0)) < 0.5) & (F.size(variants) > 0), F.get(variants, 0)).otherwise(question)
+
+
+def loaded(factory: Callable[[], Callable[[str, list[str]], list[float]]], probe: tuple[str, list[str]] = ("warm", ["warm up"])) -> tuple[Callable | None, str | None]:
+    """A scorer and null, or null and why there is none: a scorer that can't be loaded or fails its first call isn't used."""
+    try:
+        scorer = factory()
+        scorer(*probe)
+    except Exception as error:  # whatever fails, the answer is to go without
+        return None, type(error).__name__
+    return scorer, None
+
+
+def rerank_or_pass(candidates: DataFrame, scorer: Callable | None, reason: str | None = None, k: int = 5) -> DataFrame:
+    """rerank with a scorer, the incoming order without one."""
+    return rerank(candidates, scorer, k) if scorer else passthrough(candidates, k, reason)

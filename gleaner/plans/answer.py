@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normalized_question, script_language, sentences
 from ..operators import evidence as ev
-from ..operators import fusion, lexical, rerank, rules, vector
+from ..operators import fusion, lexical, rerank, respond, rules, vector
 
 
 def keyword_domains(text, vocabulary: dict[str, list[str]]):
@@ -56,6 +56,12 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, vocabulary: dict[str,
     )
     rows = rows.withColumn("refusal_reason", refusal).withColumn("status", F.when(F.col("refusal_reason").isNull(), "success").otherwise("refused"))
     actions = rules.decide_actions(F.col("urgency"), F.col("sufficiency"), F.col("support_count"), F.col("status") == "refused")
+    rows = rows.withColumns({"actions": actions, "limitations": respond.stated_limitations(F.col("sufficiency"), F.lit(None).cast("array<string>"), F.col("support_count"))})
+    steps = respond.trace(
+        F.col("refusal_reason"), red_flag_check=F.size("matches"), domain_predict=F.array_join("domains", ", "), rerank=F.col("top_rerank_score"), sufficiency=F.col("sufficiency"),
+        generation=F.col("statements"), validation=F.col("dropped"), dose_scan=F.col("doses"), risk=F.col("urgency"), decision=rules.action_type(F.col("urgency")),
+    )
     return rows.select(
-        "query_id", "status", "refusal_reason", "sufficiency", "support_count", "statements", "dropped", "urgency", "floor_applied", "confidence", script_language(F.col("query")).alias("language"), actions.alias("actions"), rules.action_type(F.col("urgency")).alias("action_type")
-    )
+        "query_id", "status", "refusal_reason", "sufficiency", "support_count", "statements", "dropped", "urgency", "floor_applied", "confidence", script_language(F.col("query")).alias("language"), "actions", rules.action_type(F.col("urgency")).alias("action_type"),
+        F.when(F.col("status") == "success", respond.action_message(F.col("urgency"), F.col("actions.show_followup_question"))).alias("message"), F.when(F.col("status") == "success", F.col("limitations")).alias("limitations"), steps.alias("trace"),
+    )

@@ -403,12 +403,32 @@ def line_kinds(spark, d):
     return _lines(spark, d).groupBy("document_id").agg(F.count("*").alias("lines"), F.count_if(X.is_worksheet_rule(F.col("text"))).alias("rules"), F.count_if(X.is_page_number(F.col("text"))).alias("page_numbers"))
 
 
-@query()
+def _nested(text: str, *tables: dict[str, str]) -> str:
+    for table in tables:
+        for a, b in table.items():
+            text = "replace(" + text + ", '" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')"
+    return text
+
+
+#: SQL of a cleaned line. DuckDB has no NFKC: the tables hold no character for which NFC isn't the same.
+CLEANED = "trim(regexp_replace(nfc_normalize(regexp_replace(" + _nested("{0}", K.LIGATURES, K.QUOTES, K.DASHES) + r", '[\x{{80}}-\x{{9f}}]', '', 'g')), '[ \t]+', ' ', 'g'))"
+
+
+@query("WITH " + LINES + ", typeset AS (SELECT *, translate(replace(text, 'fi', 'ﬁ'), '''-', '’–') AS t FROM ln) SELECT document_id, page_number, CAST(line_no AS BIGINT) AS line_no, " + CLEANED.format("t") + " AS text FROM typeset")
 def cleaned_lines(spark, d):
-    return _lines(spark, d).select("document_id", "page_number", "line_no", X.clean_line(F.col("text")).alias("text"))
+    typeset = F.translate(F.replace("text", F.lit("fi"), F.lit("ﬁ")), "'-", "’–")
+    return _lines(spark, d).select("document_id", "page_number", F.col("line_no").cast("long").alias("line_no"), X.clean_line(typeset).alias("text"))
 
 
-@query()
+#: SQL of words joined over breaks, from hyphenated(document_id, page_number, n from 1, line).
+JOINED = r"""g AS (SELECT document_id, page_number, n, CAST([] AS VARCHAR[]) AS done, line AS held FROM hyphenated WHERE n = 1 UNION ALL
+ SELECT document_id, page_number, n, CASE WHEN held IS NULL THEN done WHEN joins THEN list_append(done, regexp_replace(held, '-[^-]*$', '') || regexp_extract(line, '^([a-z]+)', 1)) ELSE list_append(done, held) END,
+  CASE WHEN joins THEN nullif(ltrim(regexp_replace(line, '^[a-z]+', '')), '') ELSE line END FROM
+ (SELECT s.*, done, held, coalesce(regexp_matches(held, '\w-\s*$') AND regexp_matches(line, '^[a-z]'), false) AS joins FROM g JOIN hyphenated s ON s.document_id = g.document_id AND s.page_number = g.page_number AND s.n = g.n + 1)),
+joined AS (SELECT document_id, page_number, CASE WHEN held IS NULL THEN done ELSE list_append(done, held) END AS lines FROM g QUALIFY row_number() OVER (PARTITION BY document_id, page_number ORDER BY n DESC) = 1)"""
+
+
+@query("WITH RECURSIVE " + LINES + ", hyphenated AS (SELECT document_id, page_number, line_no + 1 AS n, text || CASE WHEN line_no % 3 = 0 THEN '-' ELSE '' END AS line FROM ln), " + JOINED + " SELECT * FROM joined")
 def dehyphenated_pages(spark, d):
     pages = _lines(spark, d).groupBy("document_id", "page_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: F.concat(x["text"], F.when(x["line_no"] % 3 == 0, "-").otherwise(""))).alias("lines"))
     return pages.select("document_id", "page_number", layout.dehyphenate(F.col("lines")).alias("lines"))
@@ -449,7 +469,9 @@ def near_copies_dropped(spark, d):
     return fusion.drop_near_copies(ranked, "vec_id", 0.3).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query("WITH " + BM25 + r""", ws AS (SELECT query_id, chunk_id, rank AS pre_rank, list_distinct(list_filter(string_split_regex(lower(b.text), '\s+'), lambda x: x <> '')) AS q, list_distinct(list_filter(string_split_regex(lower(d.text), '\s+'), lambda x: x <> '')) AS t FROM bm JOIN documents d ON d.doc_id = bm.chunk_id JOIN benchmark b ON b.item_id = bm.query_id),
+z AS (SELECT query_id, chunk_id, pre_rank, len(list_intersect(q, t)) / greatest(1, len(q))::DOUBLE AS score FROM ws), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pre_rank) AS rank FROM z)
+SELECT query_id, chunk_id, CAST(pre_rank AS INT) AS pre_rank, CAST(rank AS INT) AS rank, score, true AS rerank_used, CAST(NULL AS VARCHAR) AS fallback_reason FROM r WHERE rank <= 5""")
 def reranked(spark, d):
     found = lexical.search(_chunks(spark, d), _asked(spark, d)).join(_chunks(spark, d), "chunk_id").join(_asked(spark, d), "query_id")
     return rerank.rerank(found.select("query_id", "query", "rank", "chunk_id", "text"), seconds=3600.0)

@@ -22,6 +22,9 @@ GENERATION = (
     "statements array<struct<text: string, evidence_ids: array<string>>>, excerpts array<struct<evidence_id: string, quote: string>>, limitations array<string>, conflicts array<struct<description: string, evidence_ids: array<string>>>, insufficient_evidence boolean"
 )
 
+RUNS = "config_id string, split string, query_id long, rank int, chunk_id string, score double"
+PROVENANCE = "rule_id string, chunk_id string, document_id string, page int, section_path string, rationale string, version string"
+
 
 def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
     """JSON or JSON lines; a row that doesn't fit the schema is an error."""
@@ -121,3 +124,94 @@ def restamp(chunks: DataFrame, documents: DataFrame, fields: list[str], fixed: l
         if not joined.where(c).isEmpty():
             raise ValueError(f"{fixed} must not change")
     return joined.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields}).select(*chunks.columns)
+
+
+def usable_files(checked: DataFrame) -> DataFrame:
+    """What validated() gave; a document without text on any sampled page is an error when the result is read."""
+    said = F.concat(F.lit("no text on the sampled pages of "), F.col("document_id").cast("string"))
+    return checked.where(F.when(F.col("usable"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """Rules of urgency from YAML, as match_rules takes them, and where each comes from; a rule without its source is an error."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)
+    rules, sources = {}, []
+    for rule in found.get("rules", []):
+        name, source = rule["id"], rule.get("source") or {}
+        missing = [c for c in ("chunk_id", "document_id", "page", "section_path") if c not in source]
+        if missing:
+            raise ValueError(f"rule {name} lacks {missing} of its source")
+        if "any_of" not in rule and "all_of" not in rule:
+            raise ValueError(f"rule {name} has neither any_of nor all_of")
+        every = [{"any_of": rule["any_of"]}] if "any_of" in rule else rule["all_of"]
+        groups = [[f"(?i){p}" for p in (g["any_of"] if isinstance(g, dict) else [str(g)])] for g in every]
+        rules[name] = (rule["label"], rule["urgency_floor"], groups)
+        sources.append((name, source["chunk_id"], source["document_id"], int(source["page"]), source["section_path"], rule.get("rationale", "").strip(), str(found.get("version", "unknown"))))
+    return rules, spark.createDataFrame(sources, PROVENANCE)
+
+
+def read_emergency(path: str, locale: str | None = None) -> dict:
+    """The texts of an urgent answer from YAML, of locale or the default one."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)
+    own = found["locales"][locale or found.get("default_locale", "generic")]
+    return {"critical_lead": found["critical_lead"].strip(), "high_lead": found["high_lead"].strip(), "label": own["label"], "number": own.get("number"), "instruction": own["instruction"].strip()}
+
+
+def read_heading_profile(path: str) -> dict:
+    """levels (name, min, max, bold), numbering pattern, excluded headings and body size of a document, as tuned_headings takes them."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)
+    levels = [{"name": x["level"], "min": float(x["font_size_min"]), "max": float(x["font_size_max"]), "bold": bool(x.get("bold_required"))} for x in found.get("heading_levels") or []]
+    numbering = "|".join(f"(?:{x['numbering_pattern']})" for x in found.get("heading_levels") or [] if x.get("numbering_pattern"))
+    return {"levels": levels, "numbering": numbering, "excluded": found.get("exclude_headings") or [], "body": found.get("body_text_size")}
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks from JSON lines with pos, their order in the files: by file name, then by place in it."""
+    rows = read_json(spark, path, CHUNKS)
+    return rows.withColumn("pos", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """runs as RUNS, by config_id and split; other configurations stay."""
+    names = [c.split(" ")[0] for c in RUNS.split(", ")]
+    write_partitioned(runs.select(*names), path, "config_id", "split")
+
+
+def read_runs(spark: SparkSession, path: str, split: str, locked: tuple[str, ...] = ("golden",), unlock: bool = False) -> DataFrame:
+    """The runs of a split; a locked split is read only on purpose."""
+    if split in locked and not unlock:
+        raise ValueError(f"split {split} is kept for the last measurement")
+    return spark.read.schema(RUNS).parquet(path).where(F.col("split") == split)
+
+
+def artifact_path(base: str, name: str, limit: int | None = None) -> str:
+    """Where an artifact goes; that of a limited run never takes the place of the whole one."""
+    return f"{base}/{name}" + (f"_limit{limit}" if limit else "")
+
+
+def publish_chunks(chunks: DataFrame, vectors: DataFrame, path: str, config: str, version: str, ceiling: int = 512) -> dict[str, int]:
+    """Writes the chunks of a configuration and their vectors; returns how many there are and how many exceed ceiling tokens."""
+    chunks.withColumn("config_id", F.lit(config)).write.option("partitionOverwriteMode", "dynamic").partitionBy("config_id").mode("overwrite").parquet(f"{path}/chunks")
+    stored = chunks.sparkSession.read.parquet(f"{path}/chunks").where(F.col("config_id") == config)
+    counted = stored.agg(F.count("*").alias("chunks"), F.count_if(F.col("token_count") > ceiling).alias("over")).first()
+    publish_vectors(vectors, f"{path}/vectors/config_id={config}", version, expected=counted["chunks"])
+    return {"chunks": counted["chunks"], "over": counted["over"]}
+
+
+def write_thresholds(spark: SparkSession, path: str, signal: str, high: float, low: float) -> None:
+    """The fitted thresholds of a signal, to four places, as a row of a table; other signals stay."""
+    write_partitioned(spark.createDataFrame([(signal, round(high, 4), round(low, 4))], "signal string, high double, low double"), path, "signal")
+
+
+def read_thresholds(spark: SparkSession, path: str) -> dict[str, tuple[float, float]]:
+    """signal: (high, low), as sufficiency takes it; a row per signal."""
+    return {r["signal"]: (r["high"], r["low"]) for r in spark.read.parquet(path).collect()}
