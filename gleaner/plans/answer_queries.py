@@ -1 +1,244 @@
+"""Queries over search and answers, and SQL for them: hybrid and multi-query search, shown evidence, risk, actions, traces."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..functions import text as X
+from ..operators import contracts, evaluate, fusion, lexical, rerank, respond, rules
+from ..operators import evidence as ev
+from .queries import FUSED, METRICS, PACK, _any, _asked, _chunks, _pack, _rule_sql, _scores, _second, _t, _talk, query
+
+BEST = "row_number() OVER (PARTITION BY {0} ORDER BY round({1}, 12) DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id)"
+
+
+def _payload(spark, d):
+    """What the dense side knows of a chunk; no vectors, so no near copies."""
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.array("lang").alias("domains"), X.content_hash(F.col("text")).alias("content_hash"), F.lit(None).cast("array<double>").alias("embedding"))
+
+
+def _predicted(spark, d):
+    return _asked(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>")).alias("predicted"))
+
+
+#: SQL of fused hits with the payload of dense hits, where the even questions have a domain.
+PAID = """, pay AS (SELECT f.*, rrf + CASE WHEN f.dense_rank IS NOT NULL AND d.lang = 'en' AND f.query_id % 2 = 0 THEN 0.02 ELSE 0 END AS s, CASE WHEN f.dense_rank IS NOT NULL AND f.query_id % 2 = 0 THEN sha256(d.text) END AS h FROM {0} f JOIN documents d ON d.doc_id = f.chunk_id)"""
+
+
+@query("WITH " + FUSED + PAID.format("fu") + f""", o AS (SELECT *, {BEST.format('query_id', 's')} AS r FROM pay),
+k AS (SELECT * FROM o QUALIFY h IS NULL OR row_number() OVER (PARTITION BY query_id, h ORDER BY r) = 1)
+SELECT query_id, chunk_id, round(s, 9) AS boosted_score, CAST({BEST.format('query_id', 's')} AS BIGINT) AS rank FROM k QUALIFY rank <= 10""")
+def hybrid_top10(spark, d):
+    found = fusion.hybrid_search(_second(spark, d), lexical.search(_chunks(spark, d), _asked(spark, d)), _payload(spark, d), _predicted(spark, d))
+    return found.select("query_id", "chunk_id", F.round("boosted_score", 9).alias("boosted_score"), F.col("rank").cast("long").alias("rank"))
+
+
+#: Every third question has one variant; the others have a second one, that finds by position only.
+VARIANTS = FUSED + """, vf AS (SELECT 0 AS variant, * FROM fu UNION ALL SELECT 1, query_id, chunk_id, orank, NULL, 1.0::DOUBLE / (60 + orank) FROM other WHERE query_id % 3 <> 0)""" + PAID.format("vf") + f""",
+one AS (SELECT *, {BEST.format('query_id', 's')} AS r FROM pay WHERE query_id % 3 = 0), one2 AS (SELECT * FROM one QUALIFY h IS NULL OR row_number() OVER (PARTITION BY query_id, h ORDER BY r) = 1),
+o AS (SELECT *, {BEST.format('query_id, variant', 's')} AS r FROM pay WHERE query_id % 3 <> 0 QUALIFY r <= 25),
+m AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS s, arg_max(struct_pack(dr := dense_rank, br := bm25_rank, h := h), struct_pack(s := s, v := -variant)) AS best FROM o GROUP BY 1, 2),
+m2 AS (SELECT query_id, chunk_id, s, best.dr AS dense_rank, best.br AS bm25_rank, best.h AS h FROM m), m3 AS (SELECT *, {BEST.format('query_id', 's')} AS r FROM m2),
+m4 AS (SELECT * FROM m3 QUALIFY h IS NULL OR row_number() OVER (PARTITION BY query_id, h ORDER BY r) = 1)
+SELECT query_id, chunk_id, round(s, 9) AS boosted_score, CAST(rank AS BIGINT) AS rank FROM (SELECT query_id, chunk_id, s, {BEST.format('query_id', 's')} AS rank FROM one2 UNION ALL SELECT query_id, chunk_id, s, {BEST.format('query_id', 's')} FROM m4) WHERE rank <= 10"""
+
+
+@query("WITH " + VARIANTS)
+def multi_query_top10(spark, d):
+    asked = _asked(spark, d).select("query_id", F.explode(F.when(F.col("query_id") % 3 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("variant"))
+    second = _second(spark, d)
+    dense = second.withColumn("variant", F.lit(0)).unionByName(second.where("query_id % 3 != 0").withColumn("variant", F.lit(1)))
+    found = lexical.search(_chunks(spark, d), _asked(spark, d)).withColumn("variant", F.lit(0))
+    top = fusion.multi_query_search(asked, dense, found, _payload(spark, d), _predicted(spark, d))
+    return top.select("query_id", "chunk_id", F.round("boosted_score", 9).alias("boosted_score"), F.col("rank").cast("long").alias("rank"))
+
+
+#: Four statements of each question, and a quote of the second, then the first piece.
+SAID = PACK + """, s AS (SELECT item_id AS query_id, k AS statement_no, CASE k WHEN 1 THEN ['E1'] WHEN 2 THEN ['E1', 'E9'] WHEN 3 THEN [] ELSE ['E2', 'E1'] END AS ids FROM benchmark, (SELECT unnest([1, 2, 3, 4]) AS k)),
+kn AS (SELECT query_id, list('E' || rank) AS known FROM p GROUP BY 1), o AS (SELECT s.*, len(ids) > 0 AND list_has_all(coalesce(known, []), ids) AS valid FROM s LEFT JOIN kn USING (query_id)),
+ci AS (SELECT DISTINCT query_id, statement_no, unnest(ids) AS evidence_id FROM o WHERE valid), pi AS (SELECT *, 'E' || rank AS evidence_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS idx FROM p),
+ex AS (SELECT x.query_id, x.evidence_id, quote, no FROM (SELECT item_id AS query_id, 'E' || (3 - k) AS evidence_id, k AS no, CASE WHEN (item_id + k) % 3 = 0 THEN upper(text) ELSE text END AS quote FROM benchmark, (SELECT unnest([1, 2]) AS k)) x JOIN pi ON pi.query_id = x.query_id AND pi.evidence_id = x.evidence_id AND contains(pi.text, quote))"""
+
+
+def _said(spark, d, pack):
+    none = F.array().cast("array<string>")
+    ids = F.array(F.array(F.lit("E1")), F.array(F.lit("E1"), F.lit("E9")), none, F.array(F.lit("E2"), F.lit("E1")))
+    said = _asked(spark, d).select("query_id", F.posexplode(ids).alias("at", "evidence_ids")).select("query_id", (F.col("at") + 1).alias("statement_no"), F.lit("x").alias("text"), "evidence_ids")
+    return ev.resolve_statements(said, pack)
+
+
+def _quotes(spark, d):
+    rows = _asked(spark, d).withColumn("excerpt_no", F.explode(F.array(F.lit(1), F.lit(2))))
+    quote = F.when((F.col("query_id") + F.col("excerpt_no")) % 3 == 0, F.upper("query")).otherwise(F.col("query"))
+    return rows.select("query_id", "excerpt_no", F.concat(F.lit("E"), (3 - F.col("excerpt_no")).cast("string")).alias("evidence_id"), quote.alias("quote"))
+
+
+@query("WITH " + SAID + " SELECT pi.query_id, pi.idx AS index, pi.evidence_id, pi.chunk_id, e.excerpt, EXISTS (SELECT 1 FROM ci JOIN pi c ON c.query_id = ci.query_id AND c.evidence_id = ci.evidence_id WHERE c.query_id = pi.query_id AND c.chunk_id = pi.chunk_id) AS selected FROM pi LEFT JOIN (SELECT query_id, evidence_id, arg_min(quote, no) AS excerpt FROM ex GROUP BY 1, 2) e USING (query_id, evidence_id)")
+def evidence_shown(spark, d):
+    pack = _pack(spark, d)
+    shown = respond.shown_evidence(pack, _said(spark, d, pack), ev.resolve_excerpts(_quotes(spark, d), pack))
+    return shown.withColumn("index", F.col("index").cast("long"))
+
+
+@query("WITH " + SAID + " SELECT query_id, CAST(statement_no AS INT) AS statement_no, row_number() OVER (PARTITION BY query_id ORDER BY statement_no) AS statement_id, citations FROM (SELECT ci.query_id, statement_no, list_sort(list(DISTINCT idx)) AS citations FROM ci JOIN pi USING (query_id, evidence_id) GROUP BY 1, 2)")
+def statement_citations(spark, d):
+    pack = _pack(spark, d)
+    found = respond.statement_indexes(_said(spark, d, pack), pack)
+    return found.select("query_id", "statement_no", F.col("statement_id").cast("long").alias("statement_id"), F.col("citations").cast("array<long>").alias("citations"))
+
+
+@query("WITH " + SAID + " SELECT x.query_id, x.evidence_id, d.doc_id AS chunk_id, d.lang, d.source FROM (SELECT DISTINCT query_id, unnest(ids) AS evidence_id FROM s) x LEFT JOIN pi USING (query_id, evidence_id) LEFT JOIN documents d ON d.doc_id = pi.chunk_id AND d.doc_id % 5 <> 0")
+def cited_sources(spark, d):
+    pack = _pack(spark, d)
+    cited = _said(spark, d, pack).select("query_id", F.explode("evidence_ids").alias("evidence_id")).distinct()
+    store = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", F.lit(True).alias("__known")).where("chunk_id % 5 != 0")
+    found = respond.cited_metadata(cited, pack, store)
+    return found.select("query_id", "evidence_id", F.when(F.col("__known"), F.col("chunk_id")).alias("chunk_id"), "lang", "source")
+
+
+@query("WITH " + SAID + " SELECT coalesce(reason, 'none') AS reason, CAST(count(*) AS BIGINT) AS dropped FROM (SELECT CASE WHEN len(ids) = 0 THEN 'no citation' ELSE 'unresolved citation' END AS reason FROM o WHERE NOT valid) GROUP BY 1")
+def drop_histogram(spark, d):
+    return respond.drop_reasons(_said(spark, d, _pack(spark, d)))
+
+
+@query("WITH " + SAID + r""", x AS (SELECT item_id AS query_id, 'E' || (3 - k) AS evidence_id, k AS no, '  ' || replace(CASE WHEN (item_id + k) % 3 = 0 THEN upper(text) ELSE text END, ' ', '  ') AS quote FROM benchmark, (SELECT unnest([1, 2]) AS k)), sq AS (SELECT query_id, evidence_id, trim(regexp_replace(text, '[\s\x0b\x0c\x1c-\x1f\x85\xa0]+', ' ', 'g')) AS t FROM pi)
+SELECT x.query_id, x.evidence_id, CAST(no AS INT) AS excerpt_no, coalesce(contains(t, trim(regexp_replace(quote, '[\s\x0b\x0c\x1c-\x1f\x85\xa0]+', ' ', 'g'))), false) AS verbatim FROM x LEFT JOIN sq USING (query_id, evidence_id)""")
+def loose_excerpts(spark, d):
+    spaced = _quotes(spark, d).withColumn("quote", F.concat(F.lit("  "), F.replace("quote", F.lit(" "), F.lit("  "))))
+    return respond.loose_quotes(spaced, _pack(spark, d)).select("query_id", "evidence_id", "excerpt_no", "verbatim")
+
+
+@query("WITH " + PACK + ", kn AS (SELECT query_id, list('E' || rank) AS known FROM p GROUP BY 1), x AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN ['E1', 'E1'] WHEN 1 THEN ['E1', 'E9'] ELSE ['E1', 'E2'] END AS ids FROM benchmark) SELECT query_id, ids AS evidence_ids FROM x LEFT JOIN kn USING (query_id) WHERE len(list_filter(ids, lambda i: list_contains(coalesce(known, []), i))) >= 2")
+def stated_conflicts(spark, d):
+    i, e = F.col("query_id"), lambda *names: F.array(*map(F.lit, names))
+    said = _asked(spark, d).select("query_id", F.lit("differ").alias("description"), F.when(i % 3 == 0, e("E1", "E1")).when(i % 3 == 1, e("E1", "E9")).otherwise(e("E1", "E2")).alias("evidence_ids"))
+    return ev.resolve_conflicts(said, _pack(spark, d)).select("query_id", "evidence_ids")
+
+
+@query("WITH " + PACK + " SELECT query_id, string_agg('[E' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS block FROM p GROUP BY query_id")
+def prompt_blocks(spark, d):
+    return ev.prompt_block(_pack(spark, d))
+
+
+@query("WITH " + PACK + " SELECT query_id, round(CASE WHEN query_id % 2 = 0 THEN query_id / 7.0::DOUBLE ELSE max(1.0::DOUBLE / (60 + rank)) END, 9) AS score FROM p GROUP BY query_id")
+def gate_signals(spark, d):
+    pack = _pack(spark, d).withColumn("rerank_score", F.when(F.col("query_id") % 2 == 0, F.col("query_id") / 7.0))
+    return evaluate.gate_scores(ev.pack_summary(pack)).select("query_id", F.round("score", 9).alias("score"))
+
+
+@query(_rule_sql() + f""", f AS (SELECT conv_id, turn, max(floor_rank) AS fl, list(rule_id ORDER BY rule_id) AS rules FROM r GROUP BY 1, 2),
+z AS (SELECT n.conv_id, n.turn, coalesce(fl, 0) AS fl, coalesce(rules, []) AS rules, {_any(K.SEVERITY_TERMS)} AS sv, {_any(K.ACUTE_TERMS)} AS ac, {_any(K.VULNERABLE_TERMS)} AS vu FROM n LEFT JOIN f USING (conv_id, turn)),
+y AS (SELECT *, greatest(CASE WHEN sv THEN 2 WHEN ac OR vu THEN 1 ELSE 0 END, fl) AS u, [CAST(i AS BIGINT) FOR i IN [1, 2, 3] IF (conv_id + i) % 3 = 0] AS ids FROM z WHERE turn % 2 = 0),
+x AS (SELECT *, round_even(0.55::DOUBLE + 3 * 0.02::DOUBLE + CASE WHEN len(rules) > 0 THEN 0.10::DOUBLE ELSE 0 END, 2) AS c FROM y)
+SELECT conv_id * 1000 + turn AS query_id, list_extract(['LOW', 'MODERATE', 'HIGH', 'CRITICAL'], CAST(u AS INT) + 1) AS level, CASE WHEN c >= 0.70 THEN 'strong' WHEN c >= 0.45 THEN 'moderate' ELSE 'weak' END AS band, c AS confidence, rules, ids AS evidence_ids FROM x WHERE len(ids) > 0""")
+def risk_reports(spark, d):
+    rows = rules.match_rules(_talk(spark, d).withColumn("plain", F.lower(X.squeeze(F.col("text")))), "plain")
+    rows = rows.withColumns({"query_id": F.col("conv_id") * 1000 + F.col("turn"), "domains": F.array().cast("array<string>"), "sufficiency": F.lit("PARTIAL"), "support_count": F.lit(3)})
+    shown = rows.where("turn % 2 = 0").select("query_id", "conv_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("index")).withColumn("selected", (F.col("conv_id") + F.col("index")) % 3 == 0)
+    found = respond.risk_blocks(rules.assess_risk(rows, "plain"), shown)
+    return found.select("query_id", "level", "band", "confidence", F.array_sort("rules").alias("rules"), F.col("evidence_ids").cast("array<long>").alias("evidence_ids"))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+STEPS = "x AS (SELECT conv_id, turn, list_extract(['LOW', 'MODERATE', 'HIGH', 'CRITICAL'], CAST(conv_id % 4 + 1 AS INT)) AS u, turn % 2 = 0 AS follow FROM conversations), y AS (SELECT *, CASE u WHEN 'CRITICAL' THEN " + _text(K.EMERGENCY["critical_lead"] + " " + K.EMERGENCY["instruction"]) + " WHEN 'HIGH' THEN " + _text(K.EMERGENCY["high_lead"] + " " + K.EMERGENCY["instruction"]) + " END AS help FROM x)"
+
+
+@query("WITH " + STEPS + f" SELECT conv_id, turn, coalesce(help, CASE WHEN u = 'LOW' THEN {_text(K.ACTION_LOW)} || CASE WHEN follow THEN {_text(K.ACTION_LIMITED)} ELSE '' END ELSE {_text(K.ACTION_ASSESS)} END) AS message, coalesce(help || chr(10) || chr(10), '') || 'refused' AS refusal, u = 'CRITICAL' AS call_emergency, u IN ('CRITICAL', 'HIGH') AS find_facility, u NOT IN ('CRITICAL', 'HIGH') AS wellness FROM y")
+def action_messages(spark, d):
+    rows = _t(spark, d, "conversations").withColumn("u", rules.urgency_name((F.col("conv_id") % 4).cast("int")))
+    shown = respond.shown_controls(rules.decide_actions(F.col("u"), F.lit("SUFFICIENT"), F.lit(3), F.lit(False)))
+    return rows.withColumn("c", shown).select("conv_id", "turn", respond.action_message(F.col("u"), F.col("turn") % 2 == 0).alias("message"), respond.escalated(F.lit("refused"), F.col("u")).alias("refusal"), "c.call_emergency", "c.find_facility", "c.wellness")
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 AND turn % 3 <> 0 THEN ['This assessment is based on limited supporting evidence (' || turn || CASE WHEN turn = 1 THEN ' source' ELSE ' sources' END || ' found).'] WHEN turn % 3 = 0 THEN ['own'] ELSE [] END AS limitations FROM conversations")
+def limitations_stated(spark, d):
+    own = F.when(F.col("turn") % 3 == 0, F.array(F.lit("own"))).otherwise(F.array().cast("array<string>"))
+    state = F.when(F.col("conv_id") % 2 == 0, "PARTIAL").otherwise("SUFFICIENT")
+    return _t(spark, d, "conversations").select("conv_id", "turn", respond.stated_limitations(state, own, F.col("turn")).alias("limitations"))
+
+
+REASONS = ["PRESCRIPTION_REQUEST", "OUT_OF_SCOPE", "INSUFFICIENT_EVIDENCE", "NO_VALID_STATEMENTS", "DOSE_IN_ANSWER"]
+
+
+@query("SELECT conv_id, turn, list_transform(['red_flag_check', 'prescribing_check', 'domain_predict', 'retrieval', 'rerank', 'sufficiency', 'generation', 'validation', 'dose_scan'][:CASE conv_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 3 THEN 8 ELSE 9 END], lambda s: s) || ['risk', 'decision'] AS stages FROM conversations")
+def traces(spark, d):
+    reason = F.get(F.array(*map(F.lit, REASONS)), (F.col("conv_id") % 6).cast("int"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.transform(respond.trace(reason), lambda s: s["stage"]).alias("stages"))
+
+
+@query("""WITH t AS (SELECT conv_id AS query_id, turn AS position, role AS stage, (conv_id + turn * turn) % 4 AS g FROM conversations), w AS (SELECT *, coalesce(max(g) OVER (PARTITION BY query_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > g AS behind, count(*) OVER (PARTITION BY query_id, stage ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS again FROM t) SELECT query_id, position, behind, again FROM w WHERE behind OR again""")
+def trace_breaches(spark, d):
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), F.col("role").alias("stage"), ((F.col("conv_id") + F.col("turn") * F.col("turn")) % 4).alias("group_rank"))
+    return contracts.stages_out_of_order(rows).select("query_id", "position", "behind", "again")
+
+
+@query("SELECT item_id FROM benchmark WHERE item_id % 45 - 1 < 0 OR item_id % 45 + item_id % 4 - 2 < item_id % 45 - 1")
+def page_range_breaches(spark, d):
+    i = F.col("item_id")
+    return contracts.page_ranges(_t(spark, d, "benchmark").select("item_id", (i % 45 - 1).alias("page_start"), (i % 45 + i % 4 - 2).alias("page_end"))).select("item_id")
+
+
+@query("""WITH a AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN [1, 2] ELSE [1] END AS cited, CASE WHEN turn % 2 = 0 THEN [1, 2] WHEN turn % 3 = 0 THEN [] ELSE [1] END AS selected, CASE WHEN conv_id % 4 = 0 THEN 'PARTIAL' ELSE 'SUFFICIENT' END AS st, turn % 4 AS lim, CASE WHEN conv_id % 5 = 0 THEN [2] ELSE [1] END AS risk, conv_id % 7 = 0 AS refused, conv_id % 11 = 0 AS nodomain FROM conversations)
+SELECT conv_id, turn, broken FROM (SELECT *, CASE WHEN NOT list_has_all(selected, cited) THEN 'citations are selected' WHEN st = 'PARTIAL' AND lim = 0 THEN 'partial support names a limitation' WHEN NOT list_has_all(selected, risk) THEN 'risk cites selected evidence' WHEN refused AND len(selected) > 0 THEN 'a refusal selects nothing' WHEN NOT refused AND nodomain THEN 'success names its domain' END AS broken FROM a) WHERE broken IS NOT NULL""")
+def answer_breaches(spark, d):
+    c, t = F.col("conv_id"), F.col("turn")
+    ids = lambda *n: F.array(*map(F.lit, n)).cast("array<int>")
+    rows = _t(spark, d, "conversations").select(
+        "conv_id", "turn", F.when(c % 3 == 0, ids(1, 2)).otherwise(ids(1)).alias("cited"), F.when(t % 2 == 0, ids(1, 2)).when(t % 3 == 0, ids()).otherwise(ids(1)).alias("selected"),
+        F.when(c % 4 == 0, "PARTIAL").otherwise("SUFFICIENT").alias("sufficiency"), F.array_repeat(F.lit("x"), (t % 4).cast("int")).alias("limitations"), F.when(c % 5 == 0, ids(2)).otherwise(ids(1)).alias("risk_ids"),
+        F.when(c % 7 == 0, "refused").otherwise("success").alias("status"), F.when(c % 11 != 0, "x").alias("supported_domain"),
+    )
+    return contracts.broken_answers(rows).select("conv_id", "turn", "broken")
+
+
+@query("""WITH r AS (SELECT CASE WHEN conv_id % 20 = 0 THEN 'failed' ELSE 'done' END AS outcome, conv_id % 3 = 0 AS refused, CASE turn % 5 WHEN 0 THEN NULL WHEN 1 THEN 'INSUFFICIENT' WHEN 2 THEN 'OUT_OF_SCOPE' WHEN 3 THEN 'PARTIAL' ELSE 'SUFFICIENT' END AS st, turn, conv_id % 2 AS dropped FROM conversations)
+SELECT CAST(count(*) AS BIGINT) AS runs, round(avg((outcome <> 'failed')::INT), 9) AS completion, avg((outcome <> 'failed')::INT) >= 0.95 AS complete_enough, CAST(count(*) FILTER (WHERE refused AND st IS NULL) AS BIGINT) AS refused_before_retrieval, CAST(count(*) FILTER (WHERE refused AND st IN ('INSUFFICIENT', 'OUT_OF_SCOPE')) AS BIGINT) AS refused_by_gate,
+CAST(count(*) FILTER (WHERE refused AND st IN ('SUFFICIENT', 'PARTIAL')) AS BIGINT) AS refused_after_generation, CAST(sum(turn) AS BIGINT) AS statements, CAST(sum(dropped) AS BIGINT) AS dropped FROM r""")
+def generation_report(spark, d):
+    c, t = F.col("conv_id"), F.col("turn")
+    state = F.get(F.array(F.lit(None), *map(F.lit, ["INSUFFICIENT", "OUT_OF_SCOPE", "PARTIAL", "SUFFICIENT"])), (t % 5).cast("int"))
+    runs = _t(spark, d, "conversations").select(F.when(c % 20 == 0, "failed").otherwise("done").alias("outcome"), F.when(c % 3 == 0, "refused").otherwise("success").alias("status"), state.alias("sufficiency"), t.alias("statements"), (c % 2).alias("dropped"))
+    return evaluate.generation_metrics(runs).withColumn("completion", F.round("completion", 9))
+
+
+@query("WITH i AS (SELECT lang, avg(n_chars) - stddev_samp(n_chars) / 10 AS low, avg(n_chars) + stddev_samp(n_chars) / 10 AS high FROM documents GROUP BY 1) SELECT a.lang AS \"left\", b.lang AS \"right\", a.low <= b.high AND b.low <= a.high AS overlap FROM i a JOIN i b ON a.lang < b.lang")
+def overlapping_configurations(spark, d):
+    spread = F.stddev_samp("n_chars") / 10
+    intervals = _t(spark, d, "documents").groupBy("lang").agg((F.avg("n_chars") - spread).alias("low"), (F.avg("n_chars") + spread).alias("high"))
+    return evaluate.overlapping_intervals(intervals, "lang")
+
+
+@query("WITH " + METRICS + " SELECT k, round(avg(recall), 6) AS mean FROM m GROUP BY k ORDER BY round(avg(recall), 12) DESC, k LIMIT 1")
+def best_depth(spark, d):
+    return evaluate.best_configuration(_scores(spark, d), "k", "recall").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[A-Za-z]')) < 0.5 * len(regexp_extract_all(text, '\\p{L}')) AND doc_id % 4 <> 0 THEN 'variant ' || doc_id ELSE md5(text) END AS query FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ') ELSE text END AS text FROM documents)")
+def rerank_texts(spark, d):
+    written = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")).otherwise(F.col("text"))
+    variants = F.when(F.col("doc_id") % 4 != 0, F.array(F.concat(F.lit("variant "), F.col("doc_id").cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = _t(spark, d, "documents").select("doc_id", written.alias("text"), variants.alias("variants"))
+    chosen = rerank.rerank_query(F.col("text"), F.col("variants"))
+    return rows.select("doc_id", F.when(chosen == F.col("text"), F.md5(F.col("text").cast("binary"))).otherwise(chosen).alias("query"))
+
+
+@query("WITH " + FUSED + " SELECT query_id, chunk_id, CAST(rank AS INT) AS pre_rank, CAST(rank AS INT) AS rank, CAST(NULL AS DOUBLE) AS score, false AS rerank_used, 'not loaded' AS fallback_reason FROM bm WHERE rank <= 5")
+def passed_through(spark, d):
+    found = lexical.search(_chunks(spark, d), _asked(spark, d))
+    return rerank.rerank_or_pass(found.select("query_id", "rank", "chunk_id"), None, "not loaded")
+
+
+@query("WITH t AS (SELECT user_id AS query_id, event_id % 3 AS variant, event_id AS chunk_id, value AS score FROM events), m AS (SELECT query_id, variant, max(score) AS top FROM t GROUP BY 1, 2), b AS (SELECT query_id, variant FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY top DESC, variant) = 1) SELECT t.query_id, t.variant, t.chunk_id FROM t JOIN b USING (query_id, variant)")
+def best_variants(spark, d):
+    runs = _t(spark, d, "events").select(F.col("user_id").alias("query_id"), (F.col("event_id") % 3).alias("variant"), F.col("event_id").alias("chunk_id"), F.col("value").alias("score"))
+    return rerank.best_variant(runs).select("query_id", "variant", "chunk_id")
+
+
+@query("SELECT conv_id, turn, CASE WHEN s = 'INSUFFICIENT' THEN 'INSUFFICIENT_EVIDENCE' WHEN s = 'OUT_OF_SCOPE' THEN s END AS reason FROM (SELECT *, list_extract(['SUFFICIENT', 'PARTIAL', 'INSUFFICIENT', 'OUT_OF_SCOPE'], CAST(turn % 4 + 1 AS INT)) AS s FROM conversations)")
+def refusal_reasons(spark, d):
+    state = F.element_at(F.array(*map(F.lit, ["SUFFICIENT", "PARTIAL", "INSUFFICIENT", "OUT_OF_SCOPE"])), (F.col("turn") % 4 + 1).cast("int"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", ev.refusal_reason(state).alias("reason"))
