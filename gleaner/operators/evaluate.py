@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,6 +87,25 @@ def overlapping_intervals(intervals: DataFrame, group: str) -> DataFrame:
     return a.join(b, F.col(f"a.{group}") < F.col(f"b.{group}")).select(F.col(f"a.{group}").alias("left"), F.col(f"b.{group}").alias("right"), ((F.col("a.low") <= F.col("b.high")) & (F.col("b.low") <= F.col("a.high"))).alias("overlap"))
 
 
+def running(rows: DataFrame, value: str, sums: list[str], parts: int = 256) -> DataFrame:
+    """rows, one for each value, with next (the next larger value) and, of each of sums, upto_<c> and total_<c>.
+
+    Values are cut into ranges at approximate quantiles, so no task orders them all; only the sums of the ranges, parts rows
+    at most, are ordered in one task and broadcast.
+    """
+    cuts = sorted(set(rows.approxQuantile(value, [i / parts for i in range(1, parts)], 0.25 / parts)))
+    cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    cells = rows.withColumn("__cell", cell)
+    inner, outer = Window.partitionBy("__cell").orderBy(value), Window.orderBy("__cell")
+    upto, whole = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
+    totals = cells.groupBy("__cell").agg(F.min(value).alias("__first"), *[F.sum(c).alias(c) for c in sums])
+    before = totals.select("__cell", F.lead("__first").over(outer).alias("__later"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__before_{c}") for c in sums], *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums])
+    own = cells.withColumns({"__next": F.lead(value).over(inner), **{f"__upto_{c}": F.sum(c).over(upto) for c in sums}})
+    joined = own.join(F.broadcast(before), "__cell")
+    return joined.select(*rows.columns, F.coalesce("__next", "__later").alias("next"), *[(F.col(f"__upto_{c}") + F.col(f"__before_{c}")).alias(f"upto_{c}") for c in sums], *[f"total_{c}" for c in sums])
+
+
 def fit_threshold(scores: DataFrame, cap: float = 0.1, edge: float = 1e-6) -> DataFrame:
     """tau, correct_refusal, false_refusal: the threshold that refuses most rows of in_domain false, at most cap of the others.
 
@@ -94,29 +113,33 @@ def fit_threshold(scores: DataFrame, cap: float = 0.1, edge: float = 1e-6) -> Da
     each come from running sums over the distinct scores, not from a join. The lowest threshold wins a tie; none
     feasible gives no row.
     """
-    per = scores.groupBy("score").agg(F.count_if("in_domain").alias("ins"), F.count_if(~F.col("in_domain")).alias("outs"))
-    w = Window.orderBy("score")
-    upto, all_ = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = per.select(
-        "score", F.lead("score").over(w).alias("next"), F.row_number().over(w).alias("n"), F.sum("ins").over(upto).alias("i"), F.sum("outs").over(upto).alias("o"), F.sum("ins").over(all_).alias("ti"), F.sum("outs").over(all_).alias("to"), "ins", "outs"
-    )
+    per = scores.groupBy("score").agg(F.count_if("in_domain").alias("i"), F.count_if(~F.col("in_domain")).alias("o"))
+    run = running(per, "score", ["i", "o"]).select("score", "next", F.col("upto_i").alias("i"), F.col("upto_o").alias("o"), F.col("total_i").alias("ti"), F.col("total_o").alias("to"))
     after = run.select(F.coalesce((F.col("score") + F.col("next")) / 2, F.col("score") + edge).alias("tau"), "i", "o", "ti", "to")
-    before = run.where("n = 1").select((F.col("score") - edge).alias("tau"), F.lit(0).alias("i"), F.lit(0).alias("o"), "ti", "to")
+    before = per.agg((F.min("score") - edge).alias("tau"), F.lit(0).alias("i"), F.lit(0).alias("o"), F.sum("i").alias("ti"), F.sum("o").alias("to")).where("tau is not null")
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     each = before.unionByName(after).select("tau", share("o", "to").alias("correct_refusal"), share("i", "ti").alias("false_refusal"))
     return each.where(F.col("false_refusal") <= cap).orderBy(F.col("correct_refusal").desc(), "tau").limit(1)
 
 
+def _nth(i: Column, value: str) -> Column:
+    """The value at place i from 0 in sorted order, of running() over a count n."""
+    return F.min(F.when(F.col("upto_n") > i, F.col(value)))
+
+
 def percentiles(scores: DataFrame, value: str, ps: list[float]) -> DataFrame:
-    return scores.agg(*[F.percentile(value, p / 100).alias(f"p{p:g}".replace(".", "_")) for p in ps])
+    """p<p> of each of ps, interpolated between neighbours; nulls without a value. Nulls of value don't count."""
+    run = running(scores.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), value, ["n"])
+    at = {p: (F.col("total_n") - 1) * (p / 100) for p in ps}
+    ends = run.agg(F.max("total_n").alias("total_n"), *[_nth(f(h), value).alias(f"{e}{i}") for i, h in enumerate(at.values()) for e, f in (("low", F.floor), ("high", F.ceil))])
+    return ends.select(*[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (h - F.floor(h))).alias(f"p{p:g}".replace(".", "_")) for i, (p, h) in enumerate(at.items())])
 
 
 def latency_summary(runs: DataFrame, value: str) -> DataFrame:
-    """median: the upper one; p95: by nearest rank; from the sorted values."""
-    n = F.count(value).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = runs.where(F.col(value).isNotNull()).select(value, (F.row_number().over(Window.orderBy(value)) - 1).alias("i"), n.alias("n"))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col(value)))
-    return rows.agg(at(F.floor(F.col("n") / 2)).alias("median"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"))
+    """median: the upper one; p95: by nearest rank; nulls of value don't count."""
+    run = running(runs.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), value, ["n"])
+    n = F.col("total_n")
+    return run.agg(_nth(F.floor(n / 2), value).alias("median"), _nth(F.least(F.floor(n * 0.95), n - 1), value).alias("p95"))
 
 
 def section_histogram(chunks: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def relevance_join(spark, d):
 
 
 def _scored(spark, d):
-    return _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id").select(F.try_divide(F.size(X.terms(F.col("text"))).cast("double"), F.col("n_chars")).alias("score"), (F.col("quality") == 1).alias("in_domain")).where("score is not null")
+    return _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id").select(F.try_divide(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")).cast("double"), F.col("n_chars")).alias("score"), (F.col("quality") == 1).alias("in_domain")).where("score is not null")
 
 
 @query("""WITH s AS (SELECT len(regexp_extract_all(lower(text), '[a-z0-9]+')) / n_chars::DOUBLE AS score, quality = 1 AS ok FROM labels JOIN documents USING (doc_id) WHERE n_chars > 0),

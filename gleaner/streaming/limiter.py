@@ -25,14 +25,26 @@ def decide(times: list[float], held: deque, limit: int, window: float) -> Iterat
 
 
 def limit_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """events(key, event_id, at seconds) with accepted and retry_after. Acceptance feeds back, so no window frame says it."""
+    """events(key, event_id, at seconds) with accepted and retry_after. Acceptance feeds back, so no window frame says it.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"], kind="stable")
-        said = list(decide(pdf["at"].tolist(), deque(), limit, window))
-        return pdf.assign(accepted=[a for a, _ in said], retry_after=pd.array([r for _, r in said], dtype="Int32"))
+    Spark sorts the events of a key and may spill; a task reads them in batches and holds the accepted times of the window
+    of one key, at most limit of them. An event without a time is neither accepted nor rejected: both are null.
+    """
+    schema = OUT.format(key=dict(events.dtypes)["key"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, last = deque(), object()
+        for b in batches:
+            said = []
+            for key, t in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), strict=True):
+                if key != last:
+                    held, last = deque(), key
+                said.extend([(None, None)] if t is None else decide([t], held, limit, window))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([a for a, _ in said], pa.bool_()), pa.array([r for _, r in said], pa.int32())], names=["key", "event_id", "at", "accepted", "retry_after"])
 
-    return events.select("key", "event_id", "at").groupBy("key").applyInPandas(run, OUT.format(key=dict(events.dtypes)["key"]))
+    return events.select("key", "event_id", "at").repartition("key").sortWithinPartitions("key", "at", "event_id").mapInArrow(run, schema)
 
 
 class Limiter(StatefulProcessor):
