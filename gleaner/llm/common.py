@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged_at(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
-    """As staged(), and the folder."""
+def staged_at(spark: SparkSession, df: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """As staged(), in folders by the columns by, and the folder of all."""
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
