@@ -51,7 +51,7 @@ def fix_unit_separator_words(text: Column) -> Column:
         found = F.try_element_at(table, F.lower(core))
         letters = F.replace(core, F.lit("\x1f"), F.lit(""))
         cased = F.when((letters == F.upper(letters)) & (F.length(letters) > 1), F.upper(found)).when(
-            F.substring(letters, 1, 1) != F.lower(F.substring(letters, 1, 1)), F.concat(F.upper(F.substring(found, 1, 1)), F.expr("substring('', 1)"), F.substr(found, F.lit(2)))
+            F.substring(letters, 1, 1) != F.lower(F.substring(letters, 1, 1)), F.concat(F.upper(F.substring(found, 1, 1)), F.substr(found, F.lit(2)))
         ).otherwise(found)
         return F.when(found.isNull(), part).otherwise(F.concat(F.regexp_extract(part, rf"^({marks}*)", 1), cased, F.regexp_extract(part, rf"({marks}*)$", 1)))
 

@@ -22,6 +22,20 @@ GENERATION = (
     "statements array<struct<text: string, evidence_ids: array<string>>>, excerpts array<struct<evidence_id: string, quote: string>>, limitations array<string>, conflicts array<struct<description: string, evidence_ids: array<string>>>, insufficient_evidence boolean"
 )
 
+#: A row per page; blocks in order.
+PARSED_PAGES = (
+    "document_id string, page_number int, width double, height double, blocks array<struct<block_type: string, y0: double, text: string, "
+    "font_sizes: array<double>, bold: boolean, table_markdown: string, table_n_rows: int, table_n_cols: int, table_oversized: boolean>>"
+)
+CLEANED_BLOCKS = "array<struct<block_type: string, text: string, table_markdown: string, table_n_rows: int, table_n_cols: int, table_oversized: boolean>>"
+CLEANED_PAGES = f"document_id string, page_number int, section string, subsection string, section_path string, section_confidence string, blocks {CLEANED_BLOCKS}"
+#: A cleaned document as one JSON object.
+CLEANED_DOCUMENT = (
+    "document_id string, document_title string, organization string, publication_year string, source_url string, license string, domain_tags array<string>, tier int, "
+    "prescribing_restricted boolean, has_evidence_grades boolean, sha256 string, page_count int, lines_dropped_as_boilerplate long, lines_dropped_as_header_footer long, "
+    f"lines_dropped_as_worksheet_artifact long, pages array<struct<page_number: int, section: string, subsection: string, section_path: string, section_confidence: string, blocks: {CLEANED_BLOCKS}>>"
+)
+
 RUNS = "config_id string, split string, query_id long, rank int, chunk_id string, score double"
 PROVENANCE = "rule_id string, chunk_id string, document_id string, page int, section_path string, rationale string, version string"
 
@@ -215,3 +229,34 @@ def write_thresholds(spark: SparkSession, path: str, signal: str, high: float, l
 def read_thresholds(spark: SparkSession, path: str) -> dict[str, tuple[float, float]]:
     """signal: (high, low), as sufficiency takes it; a row per signal."""
     return {r["signal"]: (r["high"], r["low"]) for r in spark.read.parquet(path).collect()}
+
+
+def write_pages(pages: DataFrame, path: str, schema: str = CLEANED_PAGES) -> None:
+    """Pages under their schema, a folder per document that is replaced as a whole; other documents stay."""
+    from pyspark.sql.types import StructType
+
+    kept = [F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
+    write_partitioned(pages.select(*kept), path, "document_id")
+
+
+def read_pages(spark: SparkSession, path: str, schema: str = CLEANED_PAGES) -> DataFrame:
+    """Pages of write_pages; a file that lacks a column of the schema is an error, not a column of nulls."""
+    from pyspark.sql.types import StructType
+
+    want, stored = StructType.fromDDL(schema), spark.read.parquet(path)
+    if missing := [f.name for f in want if f.name not in stored.columns]:
+        raise ValueError(f"{path} lacks {missing}")
+    return spark.read.schema(want).parquet(path).select(*want.names)
+
+
+def read_cleaned_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and their pages from cleaned documents in JSON, an object per file; a file that doesn't fit is an error."""
+    found = read_json(spark, path, CLEANED_DOCUMENT, multiline=True)
+    return found.drop("pages"), found.select("document_id", F.inline("pages"))
+
+
+def write_cleaned_documents(documents: DataFrame, pages: DataFrame, path: str) -> None:
+    """The same written: an object per document with its pages in order. A document's pages meet in a row here, for exchange only."""
+    order = ["page_number", "section", "subsection", "section_path", "section_confidence", "blocks"]
+    nested = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*order)), lambda a, b: a["page_number"] - b["page_number"]).alias("pages"))
+    documents.join(nested, "document_id", "left").withColumn("file", F.col("document_id")).write.partitionBy("file").mode("overwrite").json(path)
