@@ -14,6 +14,7 @@ from ..operators import evidence as ev
 from ..sources import tables as src
 from ..streaming import limiter
 from .answer import answer_batch
+from .session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -487,6 +488,12 @@ def rate_limited(spark, d):
     return limiter.limit_batch(events, 2, 86400.0)
 
 
+@query(SQL["rate_limited"])
+def rate_limited_stream(spark, d):
+    events = _t(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").__truediv__(1e6).alias("at"))
+    return limiter.replay(spark, events, 2, 86400.0, shared_folder(spark, "limiter"))
+
+
 @query("SELECT s_suppkey, CASE WHEN n_name IS NOT NULL AND s_nationkey % 2 = 0 THEN n_name ELSE 'old' END AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def restamped(spark, d):
     chunks = _t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("document_id"), F.lit("old").alias("label"), F.lit("same").alias("title"))

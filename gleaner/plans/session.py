@@ -4,11 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors reach: in spark.checkpoint.dir, or in one of our own where that is unset on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        found = tempfile.mkdtemp(prefix="gleaner-shared-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python once in a context; a no-op afterwards."""
     context = spark.sparkContext

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import published
+
 LINES = (
     "document_id string, page_number int, line_no int, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, text string, font_sizes array<double>, fonts array<string>, bold boolean"
 )
@@ -104,26 +106,17 @@ def write_partitioned(rows: DataFrame, path: str, *by: str) -> None:
 
 
 def publish_vectors(vectors: DataFrame, path: str, version: str, expected: int | None = None) -> int:
-    """Writes a version of a vector index; refuses an empty one and one with another count than expected."""
-    if vectors.isEmpty():
-        raise ValueError("an index without points isn't published")
-    at = f"{path}/embedding_version={version}"
-    vectors.write.mode("overwrite").parquet(at)
-    n = vectors.sparkSession.read.parquet(at).count()
-    if expected is not None and n != expected:
-        raise ValueError(f"{n} points were written, {expected} were expected")
-    return n
+    """Publishes a version of a vector index; refuses an empty one and one with another count than expected, and then the one before stays."""
+    wrong = lambda c: f"{c['points']} points were written, {expected} were expected" if expected not in (None, c["points"]) else None
+    return published.publish(vectors.sparkSession, f"{path}/embedding_version={version}", {"points": vectors}, wrong)["points"]
 
 
 def restore_vectors(spark: SparkSession, path: str, version: str, rebuild) -> DataFrame:
-    """The published version, or what rebuild() gives where there is none."""
+    """The published version, or what rebuild() gives where none was published."""
     at = f"{path}/embedding_version={version}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.read.parquet(at)
-    vectors = rebuild()
-    publish_vectors(vectors, path, version)
-    return spark.read.parquet(at)
+    if published.current(spark, at) is None:
+        publish_vectors(rebuild(), path, version)
+    return published.read(spark, at, "points")
 
 
 def restamp(chunks: DataFrame, documents: DataFrame, fields: list[str], fixed: list[str]) -> DataFrame:
@@ -213,12 +206,19 @@ def artifact_path(base: str, name: str, limit: int | None = None) -> str:
 
 
 def publish_chunks(chunks: DataFrame, vectors: DataFrame, path: str, config: str, version: str, ceiling: int = 512) -> dict[str, int]:
-    """Writes the chunks of a configuration and their vectors; returns how many there are and how many exceed ceiling tokens."""
-    chunks.withColumn("config_id", F.lit(config)).write.option("partitionOverwriteMode", "dynamic").partitionBy("config_id").mode("overwrite").parquet(f"{path}/chunks")
-    stored = chunks.sparkSession.read.parquet(f"{path}/chunks").where(F.col("config_id") == config)
-    counted = stored.agg(F.count("*").alias("chunks"), F.count_if(F.col("token_count") > ceiling).alias("over")).first()
-    publish_vectors(vectors, f"{path}/vectors/config_id={config}", version, expected=counted["chunks"])
-    return {"chunks": counted["chunks"], "over": counted["over"]}
+    """Publishes the chunks of a configuration with their vectors, both or neither; returns how many there are and how many exceed ceiling tokens."""
+    spark, at = chunks.sparkSession, f"{path}/config_id={config}"
+    wrong = lambda c: f"{c['vectors']} vectors for {c['chunks']} chunks" if c["vectors"] != c["chunks"] else None
+    counted = published.publish(spark, at, {"chunks": chunks, "vectors": vectors}, wrong, {"embedding_version": version})
+    over = published.read(spark, at, "chunks").agg(F.count_if(F.col("token_count") > ceiling).alias("over")).first()["over"]
+    return {"chunks": counted["chunks"], "over": over}
+
+
+def read_published_chunks(spark: SparkSession, path: str, config: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks and the vectors of a configuration, of one and the same version."""
+    at = f"{path}/config_id={config}"
+    record = published.current(spark, at)
+    return published.read(spark, at, "chunks", record), published.read(spark, at, "vectors", record)
 
 
 def write_thresholds(spark: SparkSession, path: str, signal: str, high: float, low: float) -> None:
