@@ -14,7 +14,7 @@ from ..operators import evidence as ev
 from ..sources import tables as src
 from ..streaming import limiter
 from .answer import answer_batch
-from .session import shared_folder
+from .session import shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,7 +31,12 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+#: Tables of texts.
+TEXTS = ("documents", "conversations")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -2,18 +2,26 @@
 
 import random
 
+import pytest
+
 from gleaner.operators import lexical, rules
 
 
-def test_passages_are_found_word_for_word(spark):
+@pytest.mark.parametrize("block", [1 << 24, 500])
+def test_passages_are_found_word_for_word(spark, monkeypatch, block):
+    """Of one to five words, at word and within-word borders, with odd white space; in one block of passages and in several."""
+    monkeypatch.setattr(lexical, "BLOCK_CHARS", block)
     rng = random.Random(3)
-    words = [f"w{i}" for i in range(40)]
-    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)] + [None, "", " ", "w1  w2\tw3"]
-    passages = [" ".join(t.split(" ")[a : a + 4]) for t in texts[:20] for a in (0, 7)] + ["w1  w2\tw3", "w1 w2", "", None, "x y z"]
+    words = [f"w{i}" for i in range(40)] + ["a", "red", "fox", "été"]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)] + [None, "", " ", "w1  w2\tw3", "bored foxes", "x\u00a0y\u2003z", "the " * 5000]
+    passages = [" ".join(t.split(" ")[a : a + n]) for t in texts[:20] for a, n in ((0, 4), (7, 1), (9, 2), (11, 3), (3, 5))]
+    passages += ["red fox", "w1  w2\tw3", "w1 w2", "", None, " ", "\u2003", "x y z", "\u00a0y\u2003", " w1 ", "the the the", "the"]
+    passages += [t[7:19] for t in texts[:10]]
     chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
     asked = spark.createDataFrame(list(enumerate(passages)), "query_id long, query string")
     got = sorted((r.query_id, r.chunk_id) for r in lexical.holding(chunks, asked).collect())
-    assert got == sorted((q, c) for q, p in enumerate(passages) if p and len(p.split()) >= 3 for c, t in enumerate(texts) if t and p in t)
+    assert got == sorted((q, c) for q, p in enumerate(passages) if p and p.strip() for c, t in enumerate(texts) if t and p in t)
+    assert lexical.holding(chunks, asked.limit(0)).count() == 0 == lexical.holding(chunks.limit(0), asked).count()
 
 
 def test_counts_of_one_pass(spark):
