@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import chunking, contracts, evaluate, fusion, layout, lexical, rerank, rules, vector
+from ..operators import chunking, contracts, evaluate, fusion, inverted_index, layout, lexical, rerank, rules, vector
 from ..operators import evidence as ev
 from ..sources import tables as src
 from ..streaming import limiter
@@ -65,6 +65,14 @@ def bm25_search(spark, d):
     return lexical.search(_chunks(spark, d), _asked(spark, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 5).alias("score"))
 
 
+@query(SQL["bm25_search"])
+def bm25_search_stored(spark, d):
+    path = shared_folder(spark, "index")
+    inverted_index.build(spark, _chunks(spark, d), path)
+    found = inverted_index.Index(spark, path).search(_asked(spark, d))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 5).alias("score"))
+
+
 @query("WITH " + BM25 + " SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(any_value(idf), 6) AS idf FROM post JOIN w USING (term) GROUP BY term")
 def term_statistics(spark, d):
     index = lexical.postings(_chunks(spark, d))

@@ -26,6 +26,11 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 def _names(spark: SparkSession, path: str) -> list[str]:
     fs, at = _files(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
@@ -102,20 +107,22 @@ def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], check:
             raise Refused(f"{path} isn't published: {reason}")
         _commit(spark, path, number, {"folder": folder, "tables": written, "note": note or {}})
     except Exception:
-        fs, at = _files(spark, f"{path}/{folder}")
-        fs.delete(at, True)
+        delete(spark, f"{path}/{folder}")
         raise
     return counts
 
 
-def read(spark: SparkSession, path: str, table: str, manifest: dict | None = None) -> DataFrame:
-    """A table of the current version, or of a given manifest: the files that it names, under the schema that it holds."""
+def read(spark: SparkSession, path: str, table: str, manifest: dict | None = None, wanted: Callable[[str], bool] = lambda name: True) -> DataFrame:
+    """A table of the current version, or of a given manifest: the files that it names, those wanted by name, under its schema."""
     record = manifest or current(spark, path)
     if record is None or table not in record["tables"]:
         raise FileNotFoundError(f"{path} has no published {table}")
     held = record["tables"][table]
     base = f"{path}/{record['folder']}/{table}"
-    return spark.read.schema(StructType.fromJson(held["schema"])).option("basePath", base).parquet(*[f"{base}/{f}" for f in held["files"]])
+    schema, files = StructType.fromJson(held["schema"]), [f for f in held["files"] if wanted(f)]
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{f}" for f in files])
 
 
 def discard_unnamed(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
@@ -125,11 +132,9 @@ def discard_unnamed(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     """
     found = manifests(spark, path)
     for old in found[:-keep]:
-        fs, at = _files(spark, f"{path}/{RECORDS}/{old['number']:012d}.json")
-        fs.delete(at, False)
+        delete(spark, f"{path}/{RECORDS}/{old['number']:012d}.json")
     named = {m["folder"].rpartition("/")[2] for m in found[-keep:]}
     gone = [n for n in _names(spark, f"{path}/{DATA}") if n not in named]
     for name in gone:
-        fs, at = _files(spark, f"{path}/{DATA}/{name}")
-        fs.delete(at, True)
+        delete(spark, f"{path}/{DATA}/{name}")
     return gone
