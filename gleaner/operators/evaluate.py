@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,19 +68,25 @@ def ablation(stages: dict[str, DataFrame], relevant: DataFrame, sizes: DataFrame
     return report(out, "stage")
 
 
-def bootstrap(spark: SparkSession, values: DataFrame, value: str, group: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """group, mean, low, high: the 2.5 and 97.5 percentiles of the means of resamples drawn with numpy's default generator."""
+#: Cumulative probabilities of a Poisson number of mean 1, up to 16.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(17)]
 
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
 
-        x = pdf.sort_values("__order")[value].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = x[rng.integers(0, len(x), (resamples, len(x)))].mean(axis=1)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "mean": [x.mean()], "low": [np.percentile(means, 2.5)], "high": [np.percentile(means, 97.5)]})
+def bootstrap(values: DataFrame, value: str, group: str, resamples: int = 2000, seed: int = 42, key: str = "query_id") -> DataFrame:
+    """group, mean, low, high: the mean of values(key, group, value) and the 2.5 and 97.5 percentiles of its resampled means.
 
-    return values.select(F.col(group), F.col(value), F.col("query_id").alias("__order")).groupBy(group).applyInPandas(run, f"{group} {dict(values.dtypes)[group]}, mean double, low double, high double")
+    A row stands in a resample as often as a Poisson number of mean 1 says that is drawn from the digest of seed, key and resample: so a
+    resample is the same wherever its rows lie, weighted sums are summed up before they are shuffled, and no task holds the values. Rows
+    without a value don't count; a resample without a row gives no mean.
+    """
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("resample").cast("string")).cast("binary"))
+    u = F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    weight = F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda c: c <= F.col("u")))
+    rows = values.where(F.col(value).isNotNull()).select(group, key, F.col(value).cast("double").alias("x"))
+    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("u", u).withColumn("w", weight).where("w > 0")
+    means = drawn.groupBy(group, "resample").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+    ends = means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return rows.groupBy(group).agg(F.avg("x").alias("mean")).join(ends, group).select(group, "mean", "low", "high")
 
 
 def overlapping_intervals(intervals: DataFrame, group: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,12 @@ def keyword_domains(text, vocabulary: dict[str, list[str]]):
     return F.array_compact(F.array(*[F.when(F.lower(text).rlike("|".join(words)), F.lit(d)) for d, words in vocabulary.items()]).cast("array<string>"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, predicted: DataFrame, k: int = 25) -> DataFrame:
-    """Hybrid search of questions(query_id, query) in chunks(chunk_id, text, domains)."""
-    dense = vector.search(
-        chunks.select("chunk_id", vector.hashed_embedding(F.col("text")).alias("embedding")), questions.select("query_id", vector.hashed_embedding(F.col("query")).alias("embedding")), k, key="chunk_id"
-    )
-    found = lexical.search(chunks, questions, k)
-    payload = chunks.select("chunk_id", "domains", content_hash(F.col("text")).alias("content_hash"), vector.hashed_embedding(F.col("text")).alias("embedding"))
-    return fusion.hybrid_search(dense, found, payload, predicted, k=k)
+def retrieve(questions: DataFrame, store: DataFrame, k: int = 25) -> DataFrame:
+    """Hybrid search of questions(query_id, query, domains) in store(chunk_id, text, domains, content_hash, embedding)."""
+    dense = vector.search(store.select("chunk_id", "embedding"), questions.select("query_id", vector.hashed_embedding(F.col("query")).alias("embedding")), k, key="chunk_id")
+    found = lexical.search(store.select("chunk_id", "text"), questions.select("query_id", "query"), k)
+    predicted = questions.select("query_id", F.col("domains").alias("predicted"))
+    return fusion.hybrid_search(dense, found, store.select("chunk_id", "domains", "content_hash", "embedding"), predicted, k=k)
 
 
 def extractive(evidence: DataFrame) -> DataFrame:
@@ -32,36 +32,66 @@ def extractive(evidence: DataFrame) -> DataFrame:
     return rows.where(F.length("text") > 0)
 
 
-def answer_batch(questions: DataFrame, chunks: DataFrame, vocabulary: dict[str, list[str]], generate=extractive, k: int = 5) -> DataFrame:
-    """One row per question: status, refusal, sufficiency, urgency, confidence, statements kept and dropped, actions.
+def answer_batch(
+    questions: DataFrame, chunks: DataFrame, vocabulary: dict[str, list[str]], scratch: str, generate: Callable[[DataFrame], DataFrame] = extractive,
+    scorer: Callable[[str, list[str]], list[float]] = rerank.overlap_scores, k: int = 5, seconds: float = 3.0,
+) -> DataFrame:
+    """One row per question: status, refusal, sufficiency, urgency, confidence, statements kept and dropped, evidence, actions.
 
-    In order: a request for a prescription, the evidence gate, no valid statement, a dose in a statement, success.
-    Red flags and risk are there for every row.
+    Exits in order: a request for a prescription (it is never searched for), the evidence gate (nothing is generated), no valid
+    statement, a dose in a statement; the rest is success. A question leaves at its exit, before the next costly step, and the exits
+    are put together at the end, where red flags and risk are there for every row. What several steps read is written once to
+    scratch, a shared folder: the chunks with their vectors, the questions, and what search, reranking, gate and validation gave. Reranking falls back
+    to the incoming order where the scorer fails or takes more than so many seconds a question; fallback_reason says so.
     """
-    asked = rules.match_rules(questions.withColumn("plain", normalized_question(F.col("query"))), "plain").withColumn("domains", keyword_domains(F.col("query"), vocabulary))
-    ranked = retrieve(questions, chunks, asked.select("query_id", F.col("domains").alias("predicted")))
-    store = chunks.select("chunk_id", "text")
-    best = rerank.rerank(ranked.join(store, "chunk_id").join(questions, "query_id").select("query_id", "query", "rank", "chunk_id", "text"), k=k)
-    scored = best.select("query_id", "rank", "chunk_id", F.col("score").alias("rerank_score")).join(ranked.select("query_id", "chunk_id", "rrf_score"), ["query_id", "chunk_id"])
-    packed = ev.pack(scored, store)
-    said = ev.resolve_statements(generate(packed), packed)
+    spark = questions.sparkSession
+
+    def once(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{scratch}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{scratch}/{name}")
+
+    asked = rules.match_rules(questions.withColumn("plain", normalized_question(F.col("query"))), "plain")
+    asked = once(asked.withColumns({"domains": keyword_domains(F.col("query"), vocabulary), "asks": rules.asks_for_prescription(F.col("query"))}), "asked")
+    searched = asked.where("not asks")
+    payload = chunks.select("chunk_id", "text", "domains", content_hash(F.col("text")).alias("content_hash"), vector.hashed_embedding(F.col("text")).alias("embedding"))
+    store = once(payload, "store")
+    ranked = once(retrieve(searched.select("query_id", "query", "domains"), store), "ranked")
+    texts = store.select("chunk_id", "text")
+    candidates = ranked.join(texts, "chunk_id").join(searched.select("query_id", "query"), "query_id").select("query_id", "query", "rank", "chunk_id", "text")
+    best = rerank.rerank(candidates, scorer, k, seconds).select("query_id", "rank", "chunk_id", F.col("score").alias("rerank_score"), "fallback_reason")
+    packed = once(ev.pack(best.join(ranked.select("query_id", "chunk_id", "rrf_score"), ["query_id", "chunk_id"]), texts), "packed")
+    listed = packed.groupBy("query_id").agg(F.max("fallback_reason").alias("fallback_reason"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("evidence"))
+    gated = searched.join(ev.pack_summary(packed), "query_id", "left").join(listed, "query_id", "left").fillna(0, ["support_count", "top_rrf_score"])
+    state = ev.sufficiency(F.col("top_rerank_score"), F.col("top_rrf_score"), F.col("support_count"), F.size("domains") > 0, tau={"rerank": (0.5, 0.05), "rrf": ev.TAU["rrf"]})
+    gated = once(gated.withColumn("sufficiency", state), "gated")
+    weak = F.col("sufficiency").isin("INSUFFICIENT", "OUT_OF_SCOPE")
+    passed = gated.where(~weak)
+    shown = packed.join(passed.select("query_id"), "query_id", "left_semi")
+    said = once(ev.resolve_statements(generate(shown), shown), "said")
     doses = rules.dose_phrases(said.where("valid").select("query_id", "text"), "query_id").groupBy("query_id").agg(F.count("*").alias("doses"))
     counts = said.groupBy("query_id").agg(F.count_if("valid").alias("statements"), F.count_if(~F.col("valid")).alias("dropped"))
-    rows = asked.join(ev.pack_summary(packed), "query_id", "left").join(counts, "query_id", "left").join(doses, "query_id", "left").fillna(0, ["support_count", "statements", "dropped", "doses", "top_rrf_score"])
-    rows = rows.withColumn("sufficiency", ev.sufficiency(F.col("top_rerank_score"), F.col("top_rrf_score"), F.col("support_count"), F.size("domains") > 0, tau={"rerank": (0.5, 0.05), "rrf": ev.TAU["rrf"]}))
-    rows = rules.assess_risk(rows, "query")
-    refusal = (
-        F.when(rules.asks_for_prescription(F.col("query")), "PRESCRIPTION_REQUEST").when(F.col("sufficiency").isin("INSUFFICIENT", "OUT_OF_SCOPE"), ev.refusal_reason(F.col("sufficiency")))
-        .when(F.col("statements") == 0, "NO_VALID_STATEMENTS").when(F.col("doses") > 0, "DOSE_IN_ANSWER")
-    )
-    rows = rows.withColumn("refusal_reason", refusal).withColumn("status", F.when(F.col("refusal_reason").isNull(), "success").otherwise("refused"))
+    answered = passed.join(counts, "query_id", "left").join(doses, "query_id", "left").fillna(0, ["statements", "dropped", "doses"])
+    answered = answered.withColumn("refusal_reason", F.when(F.col("statements") == 0, "NO_VALID_STATEMENTS").when(F.col("doses") > 0, "DOSE_IN_ANSWER"))
+    gone = {c: F.lit(0).cast("long") for c in ("statements", "dropped", "doses")}
+    refused = gated.where(weak).withColumns(gone | {"refusal_reason": ev.refusal_reason(F.col("sufficiency"))})
+    none = F.array().cast("array<string>")
+    referred = asked.where("asks").withColumns(gone | {"domains": none, "support_count": F.lit(0).cast("long"), "sufficiency": F.lit("OUT_OF_SCOPE"), "refusal_reason": F.lit("PRESCRIPTION_REQUEST")})
+    return finished(referred.unionByName(refused, allowMissingColumns=True).unionByName(answered, allowMissingColumns=True))
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """What every exit ends with: risk, actions, limitations, message and trace."""
+    rows = rules.assess_risk(rows, "query").withColumn("status", F.when(F.col("refusal_reason").isNull(), "success").otherwise("refused"))
     actions = rules.decide_actions(F.col("urgency"), F.col("sufficiency"), F.col("support_count"), F.col("status") == "refused")
-    rows = rows.withColumns({"actions": actions, "limitations": respond.stated_limitations(F.col("sufficiency"), F.lit(None).cast("array<string>"), F.col("support_count"))})
+    limits = respond.stated_limitations(F.col("sufficiency"), F.lit(None).cast("array<string>"), F.col("support_count"))
     steps = respond.trace(
         F.col("refusal_reason"), red_flag_check=F.size("matches"), domain_predict=F.array_join("domains", ", "), rerank=F.col("top_rerank_score"), sufficiency=F.col("sufficiency"),
         generation=F.col("statements"), validation=F.col("dropped"), dose_scan=F.col("doses"), risk=F.col("urgency"), decision=rules.action_type(F.col("urgency")),
     )
+    rows = rows.withColumns({"actions": actions, "limitations": limits})
+    success = F.col("status") == "success"
     return rows.select(
-        "query_id", "status", "refusal_reason", "sufficiency", "support_count", "statements", "dropped", "urgency", "floor_applied", "confidence", script_language(F.col("query")).alias("language"), "actions", rules.action_type(F.col("urgency")).alias("action_type"),
-        F.when(F.col("status") == "success", respond.action_message(F.col("urgency"), F.col("actions.show_followup_question"))).alias("message"), F.when(F.col("status") == "success", F.col("limitations")).alias("limitations"), steps.alias("trace"),
+        "query_id", "status", "refusal_reason", "sufficiency", "support_count", "statements", "dropped", "urgency", "floor_applied", "confidence", script_language(F.col("query")).alias("language"),
+        "evidence", "fallback_reason", "actions", rules.action_type(F.col("urgency")).alias("action_type"), F.when(success, respond.action_message(F.col("urgency"), F.col("actions.show_followup_question"))).alias("message"),
+        F.when(success, F.col("limitations")).alias("limitations"), steps.alias("trace"),
     )

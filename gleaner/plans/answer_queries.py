@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import contracts, evaluate, fusion, lexical, rerank, respond, rules
+from ..operators import completion, contracts, evaluate, fusion, lexical, rerank, respond, rules
 from ..operators import evidence as ev
+from .answer import answer_batch
 from .queries import FUSED, METRICS, PACK, _any, _asked, _chunks, _pack, _rule_sql, _scores, _second, _t, _talk, query
+from .session import shared_folder
 
 BEST = "row_number() OVER (PARTITION BY {0} ORDER BY round({1}, 12) DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id)"
 
@@ -242,3 +244,81 @@ def best_variants(spark, d):
 def refusal_reasons(spark, d):
     state = F.element_at(F.array(*map(F.lit, ["SUFFICIENT", "PARTIAL", "INSUFFICIENT", "OUT_OF_SCOPE"])), (F.col("turn") % 4 + 1).cast("int"))
     return _t(spark, d, "conversations").select("conv_id", "turn", ev.refusal_reason(state).alias("reason"))
+
+
+#: CRC-32 of a word, bit by bit, over its bytes.
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(ascii(y) AS BIGINT) FOR y IN string_split({0}, '')]), lambda c, y: list_reduce(list_prepend(xor(c, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END)), 4294967295::BIGINT)"
+WORDS_OF = r"list_distinct(list_filter(string_split_regex(lower({0}), '[\s\x0b\x0c\x1c-\x1f\x85\xa0]+'), lambda x: x <> ''))"
+
+#: SQL of the whole answer plan with its stand-ins, from questions a(conv_id, turn, text).
+ANSWERS = _rule_sql().replace("lower(trim(regexp_replace(text, '\\\\s+', ' ', 'g')))", "lower(trim(regexp_replace(strip_accents(text), '\\\\s+', ' ', 'g')))").replace("WITH a AS", "WITH RECURSIVE a AS", 1) + ", " + f"""
+qs AS (SELECT conv_id * 1000 + turn AS query_id, text AS query, list_filter([CASE WHEN regexp_matches(lower(text), 'chest|bleeding|speech') THEN 'emergency' END, CASE WHEN regexp_matches(lower(text), 'cough|mild') THEN 'primary-care' END], lambda x: x IS NOT NULL) AS domains,
+ {" OR ".join(f"regexp_matches(text, '{p}')" for p in K.PRESCRIPTION_REQUESTS)} AS asks FROM a),
+fl AS (SELECT conv_id * 1000 + turn AS query_id, max(floor_rank) AS fl, count(*) AS flags FROM r GROUP BY 1),
+so AS (SELECT * FROM qs WHERE NOT asks),
+tx AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents UNION ALL SELECT 'q', query_id, regexp_extract_all(lower(query), '[a-z0-9]+') FROM so),
+po AS (SELECT side, id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT side, id, len(ws) AS dl, unnest(ws) AS term FROM tx) GROUP BY 1, 2, 3),
+hh AS (SELECT term, {CRC.format("term")} AS h FROM (SELECT DISTINCT term FROM po)),
+co AS (SELECT side, id, h % 64 AS dim, sum(tf * (1 - 2 * ((h // 65536) % 2)))::DOUBLE AS v FROM po JOIN hh USING (term) GROUP BY 1, 2, 3),
+nm AS (SELECT side, id, sqrt(sum(v * v)) AS nm FROM co GROUP BY 1, 2),
+un AS (SELECT side, id, dim, v / CASE WHEN nm > 0 THEN nm ELSE 1 END AS v FROM co JOIN nm USING (side, id)),
+ds AS (SELECT q.query_id, d.doc_id AS chunk_id, coalesce(s, 0) AS s FROM so q CROSS JOIN documents d LEFT JOIN (SELECT x.id AS query_id, y.id AS chunk_id, sum(x.v * y.v) AS s FROM un x JOIN un y ON x.dim = y.dim AND x.side = 'q' AND y.side = 'd' GROUP BY 1, 2) p ON p.query_id = q.query_id AND p.chunk_id = d.doc_id),
+de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS dense_rank FROM ds QUALIFY dense_rank <= 25),
+st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM tx WHERE side = 'd'),
+rw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM po, st WHERE side = 'd' GROUP BY term, n),
+wt AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM rw) ELSE r END AS idf FROM rw),
+sc AS (SELECT q.id AS query_id, d.id AS chunk_id, sum(q.tf * idf * d.tf * 2.5 / (d.tf + 1.5 * (0.25 + 0.75 * d.dl / avgdl))) AS score FROM po q JOIN po d ON q.term = d.term AND q.side = 'q' AND d.side = 'd' JOIN wt ON wt.term = d.term, st GROUP BY 1, 2),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS bm25_rank FROM sc) WHERE bm25_rank <= 25 AND score > 0),
+fu AS (SELECT coalesce(o.query_id, b.query_id) AS query_id, coalesce(o.chunk_id, b.chunk_id) AS chunk_id, dense_rank, bm25_rank, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) AS rrf FROM de o FULL OUTER JOIN bm b ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id),
+pay AS (SELECT f.*, rrf + CASE WHEN dense_rank IS NOT NULL AND list_contains(domains, 'emergency') THEN 0.02 ELSE 0 END AS s, CASE WHEN dense_rank IS NOT NULL AND len(domains) > 0 THEN sha256(d.text) END AS h FROM fu f JOIN documents d ON d.doc_id = f.chunk_id JOIN so USING (query_id)),
+o1 AS (SELECT *, {BEST.format('query_id', 's')} AS r FROM pay),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS i FROM (SELECT * FROM o1 QUALIFY h IS NULL OR row_number() OVER (PARTITION BY query_id, h ORDER BY r) = 1)),
+vv AS (SELECT id AS chunk_id, list(struct_pack(k := dim, v := v) ORDER BY dim) AS e FROM un WHERE side = 'd' GROUP BY 1),
+o3 AS (SELECT o2.*, CASE WHEN dense_rank IS NOT NULL THEN map_from_entries([(x.k, x.v) FOR x IN e]) END AS e FROM o2 LEFT JOIN vv USING (chunk_id)),
+gr AS (SELECT query_id, i, true AS stays, CASE WHEN e IS NOT NULL THEN [e] ELSE [] END AS kept FROM o3 WHERE i = 1 UNION ALL
+ SELECT query_id, i, NOT near, CASE WHEN near OR e IS NULL THEN kept ELSE list_append(kept, e) END FROM
+ (SELECT o3.query_id, o3.i, o3.e, g.kept, coalesce(len(list_filter(g.kept, lambda y: list_sum([coalesce(y[k], 0) * o3.e[k] FOR k IN map_keys(o3.e)]) > 0.95)) > 0, false) AS near FROM gr g JOIN o3 ON o3.query_id = g.query_id AND o3.i = g.i + 1)),
+ra AS (SELECT query_id, chunk_id, rrf, {BEST.format('query_id', 's')} AS pre FROM o3 JOIN gr USING (query_id, i) WHERE stays QUALIFY pre <= 25),
+wo AS (SELECT ra.*, {WORDS_OF.format("q.query")} AS q, {WORDS_OF.format("d.text")} AS t, d.text FROM ra JOIN so q USING (query_id) JOIN documents d ON d.doc_id = chunk_id),
+re AS (SELECT query_id, chunk_id, rrf, text, len(list_intersect(q, t)) / greatest(1, len(q))::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(q, t)) DESC, pre) AS rank FROM wo QUALIFY rank <= 5),
+ga AS (SELECT so.*, coalesce(n, 0) AS support, CASE WHEN coalesce(top, 0) < 0.05 AND len(domains) = 0 THEN 'OUT_OF_SCOPE' WHEN coalesce(top, 0) < 0.05 THEN 'INSUFFICIENT' WHEN top >= 0.5 AND n >= 2 THEN 'SUFFICIENT' ELSE 'PARTIAL' END AS state, evidence
+ FROM so LEFT JOIN (SELECT query_id, count(*) AS n, max(score) AS top, list(chunk_id ORDER BY rank) AS evidence FROM re GROUP BY 1) USING (query_id)),
+sa AS (SELECT re.query_id, trim(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1))[1]) AS said FROM re JOIN ga USING (query_id) WHERE rank <= 2 AND state IN ('SUFFICIENT', 'PARTIAL')),
+cn AS (SELECT query_id, count(*) AS statements, sum({" + ".join(f"len(regexp_extract_all(said, '{p}'))" for p in K.DOSES.values())}) AS doses FROM sa WHERE length(said) > 0 GROUP BY 1),
+ex AS (SELECT query_id, query, CAST([] AS VARCHAR[]) AS domains, 0 AS support, 'OUT_OF_SCOPE' AS state, CAST(NULL AS BIGINT[]) AS evidence, 0 AS statements, 'PRESCRIPTION_REQUEST' AS refusal FROM qs WHERE asks UNION ALL
+ SELECT query_id, query, domains, support, state, evidence, coalesce(statements, 0), CASE state WHEN 'OUT_OF_SCOPE' THEN 'OUT_OF_SCOPE' WHEN 'INSUFFICIENT' THEN 'INSUFFICIENT_EVIDENCE' ELSE CASE WHEN statements IS NULL THEN 'NO_VALID_STATEMENTS' WHEN doses > 0 THEN 'DOSE_IN_ANSWER' END END FROM ga LEFT JOIN cn USING (query_id)),
+ri AS (SELECT ex.*, coalesce(fl, 0) AS fl, coalesce(flags, 0) AS flags, CASE WHEN {_any(K.SEVERITY_TERMS).replace("contains(t,", "contains(lower(query),")} THEN 2 WHEN {_any(K.ACUTE_TERMS).replace("contains(t,", "contains(lower(query),")} OR {_any(K.VULNERABLE_TERMS).replace("contains(t,", "contains(lower(query),")} OR len(list_intersect(domains, {K.EMERGENCY_DOMAINS!r})) > 0 THEN 1 ELSE 0 END AS ar FROM ex LEFT JOIN fl USING (query_id))
+SELECT query_id, CASE WHEN refusal IS NULL THEN 'success' ELSE 'refused' END AS status, refusal AS refusal_reason, state AS sufficiency, CAST(support AS BIGINT) AS support_count, CAST(statements AS BIGINT) AS statements, evidence,
+ list_extract(['LOW', 'MODERATE', 'HIGH', 'CRITICAL'], CAST(greatest(ar, fl) AS INT) + 1) AS urgency, greatest(ar, fl) > ar AS floor_applied,
+ round_even(least(0.95::DOUBLE, CASE state {" ".join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in K.CONFIDENCE_BASE.items())} ELSE 0.30::DOUBLE END + least(support, 5) * 0.02::DOUBLE + CASE WHEN flags > 0 THEN 0.10::DOUBLE ELSE 0 END), 2) AS confidence,
+ CASE greatest(ar, fl) WHEN 3 THEN 'emergency' WHEN 2 THEN 'urgent_care' WHEN 1 THEN 'evaluation' ELSE 'guidance' END AS action_type, CAST(NULL AS VARCHAR) AS fallback_reason FROM ri"""
+
+
+@query(ANSWERS)
+def answers(spark, d):
+    asked = _talk(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    chunks = _chunks(spark, d).withColumn("domains", F.array(F.lit("emergency")))
+    vocabulary = {"emergency": ["chest", "bleeding", "speech"], "primary-care": ["cough", "mild"]}
+    found = answer_batch(asked, chunks, vocabulary, shared_folder(spark, "answers"), seconds=3600.0)
+    return found.select("query_id", "status", "refusal_reason", "sufficiency", "support_count", "statements", "evidence", "urgency", "floor_applied", "confidence", "action_type", "fallback_reason")
+
+
+def _stand_in():
+    """A model that answers by the length of the first line: well, in a fence, well at the second time, or never with all fields."""
+
+    def complete(prompt: str) -> str:
+        n = len(prompt.split("\n")[0]) % 4
+        good = '{"label": "' + "abcd"[n] + '", "confidence": ' + str(n / 4) + "}"
+        return (good, f"```json\n{good}\n```", good if "failed validation" in prompt else "I think: " + good, '{"label": "d"}')[n]
+
+    return complete
+
+
+@query("""SELECT conv_id, turn, CASE WHEN n < 3 THEN list_extract(['a', 'b', 'c'], CAST(n + 1 AS INT)) END AS label, CASE WHEN n < 3 THEN n / 4.0::DOUBLE END AS confidence,
+CASE WHEN n = 3 THEN 'schema' END AS error_kind, CASE WHEN n >= 2 THEN 2 ELSE 1 END AS passes FROM (SELECT conv_id, turn, length(string_split(text, chr(10))[1]) % 4 AS n FROM conversations)""")
+def structured_completions(spark, d):
+    rows = _t(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("prompt"))
+    rows = rows.withColumn("query_id", F.to_json("query_id"))
+    found = completion.complete_structured(rows, _stand_in, "label string, confidence double", shared_folder(spark, "completions"))
+    key = F.from_json("query_id", "conv_id long, turn long")
+    return found.select(key.alias("key"), "parsed", "error_kind", "passes").select("key.conv_id", "key.turn", "parsed.label", "parsed.confidence", "error_kind", "passes")

@@ -13,7 +13,6 @@ from ..operators import chunking, contracts, evaluate, fusion, inverted_index, l
 from ..operators import evidence as ev
 from ..sources import tables as src
 from ..streaming import limiter
-from .answer import answer_batch
 from .session import shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,9 +177,11 @@ def metrics_report(spark, d):
     return _rounded(evaluate.report(_scores(spark, d)), "precision", "recall", "hit", "ndcg", "mrr", "wasted")
 
 
-@query()
+@query("WITH " + METRICS + f""", dr AS (SELECT k, recall, len(list_filter({evaluate.POISSON}::DOUBLE[], lambda c: c <= CAST('0x' || substr(md5('42:' || query_id || ':' || i), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)) AS w, i FROM m, range(2000) t(i)),
+me AS (SELECT k, i, sum(w * recall) / sum(w) AS x FROM dr GROUP BY 1, 2 HAVING sum(w) > 0)
+SELECT k, round(any_value(a), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM me JOIN (SELECT k, avg(recall) AS a FROM m GROUP BY 1) USING (k) GROUP BY k""")
 def bootstrap_interval(spark, d):
-    return evaluate.bootstrap(spark, _scores(spark, d), "recall", "k")
+    return _rounded(evaluate.bootstrap(_scores(spark, d), "recall", "k"), "mean", "low", "high")
 
 
 @query("WITH " + BM25 + ", rl AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT query_id, CAST(count(*) AS BIGINT) AS relevant, CAST(count(bm.chunk_id) AS BIGINT) AS found, count(*) = count(bm.chunk_id) AS complete FROM rl LEFT JOIN (SELECT * FROM bm WHERE rank <= 5) bm USING (query_id, chunk_id) GROUP BY query_id HAVING count(*) > 1")
@@ -535,13 +536,6 @@ def page_samples(spark, d):
     return _t(spark, d, "benchmark").select("item_id", src.page_sample(F.col("item_id"), 5).alias("sample"))
 
 
-@query()
-def answers(spark, d):
-    asked = _talk(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    chunks = _chunks(spark, d).withColumn("domains", F.array(F.lit("emergency")))
-    return answer_batch(asked, chunks, {"emergency": ["chest", "bleeding", "speech"], "primary-care": ["cough", "mild"]})
-
-
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
 def content_digests(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))

@@ -1,6 +1,6 @@
 """Every turn of a conversation is answered."""
 
-from gleaner.plans import queries
+from gleaner.plans import answer_queries, queries  # noqa: F401
 
 
 def test_answers_every_turn(spark, tmp_path):

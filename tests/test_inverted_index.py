@@ -44,9 +44,7 @@ def test_bands_that_cannot_matter_are_left_out(spark, index):
     asked = spark.createDataFrame([(1, "rare3 the")], "query_id long, query string")
     chosen, buckets = index.chosen(asked, 1)
     assert {r.term for r in chosen.where("strong").collect()} == {"rare3"}
-    asked = spark.createDataFrame([(1, "rare3 rare5")], "query_id long, query string")
-    chosen, buckets = index.chosen(asked, 1)
-    assert chosen.count() < index.table("bands", buckets).where("term in ('rare3', 'rare5')").count()
+    assert chosen.where("term = 'rare3'").count() < index.table("bands", buckets).where("term = 'rare3'").count()
 
 
 def test_only_asked_buckets_are_read(spark, index):
