@@ -25,17 +25,17 @@ def judged(runs: DataFrame, relevant: DataFrame, key: str = "chunk_id") -> DataF
     return runs.join(relevant.select("query_id", key).distinct().withColumn("rel", F.lit(1)), ["query_id", key], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
-def metrics_at(judgements: DataFrame, sizes: DataFrame, ks: list[int], tokens: str | None = None) -> DataFrame:
-    """query_id, k, precision, recall, hit, ndcg, mrr and wasted for each k; sizes(query_id, n_rel) names the queries that count.
+def metrics_at(judgements: DataFrame, sizes: DataFrame, ks: list[int], tokens: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, by, k, precision, recall, hit, ndcg, mrr and wasted for each k; sizes(query_id, by, n_rel) names the queries that count.
 
     Precision divides by the rows there are; recall and nDCG are 0 without relevant rows; wasted is the share of
     tokens in rows that aren't relevant, 0 without tokens; mrr is over the whole list.
     """
-    grid = sizes.select("query_id", F.coalesce("n_rel", F.lit(0)).alias("n_rel"), F.explode(F.array(*map(F.lit, ks))).alias("k"))
-    rows = grid.join(judgements, "query_id", "left")
+    grid = sizes.select("query_id", *by, F.coalesce("n_rel", F.lit(0)).alias("n_rel"), F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    rows = grid.join(judgements, ["query_id", *by], "left")
     inside = F.col("rank") <= F.col("k")
     size = F.col(tokens) if tokens else F.lit(1)
-    sums = rows.groupBy("query_id", "k", "n_rel").agg(
+    sums = rows.groupBy("query_id", *by, "k", "n_rel").agg(
         F.sum(F.when(inside, F.col("rel")).otherwise(0)).alias("found"), F.count_if(inside).alias("seen"),
         F.sum(F.when(inside, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),
         F.sum(F.when(inside, size).otherwise(0)).alias("size"), F.sum(F.when(inside & (F.col("rel") == 0), size).otherwise(0)).alias("lost"),
@@ -43,7 +43,7 @@ def metrics_at(judgements: DataFrame, sizes: DataFrame, ks: list[int], tokens: s
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("n_rel", "k").cast("int"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), b), F.lit(0.0))
     return sums.select(
-        "query_id", "k", ratio("found", F.col("seen")).alias("precision"), ratio("found", F.col("n_rel")).alias("recall"), (F.col("found") > 0).cast("int").alias("hit"),
+        "query_id", *by, "k", ratio("found", F.col("seen")).alias("precision"), ratio("found", F.col("n_rel")).alias("recall"), (F.col("found") > 0).cast("int").alias("hit"),
         F.when(F.col("n_rel") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), ratio("lost", F.col("size")).alias("wasted"),
     )
 
@@ -55,17 +55,13 @@ def report(scores: DataFrame, *by: str) -> DataFrame:
 
 
 def ablation(stages: dict[str, DataFrame], relevant: DataFrame, sizes: DataFrame, ks: list[int], key: str = "chunk_id") -> DataFrame:
-    """The report of each stage's runs, one union grouped by stage."""
+    """The report of each stage's runs, by one pass over all of them; a query of sizes that a stage finds nothing for counts with 0."""
     runs = None
     for name, run in stages.items():
         one = run.select("query_id", "rank", key).withColumn("stage", F.lit(name))
         runs = one if runs is None else runs.unionByName(one)
-    found = judged(runs, relevant, key)
-    parts = [metrics_at(found.where(F.col("stage") == name), sizes, ks).withColumn("stage", F.lit(name)) for name in stages]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return report(out, "stage")
+    staged = sizes.withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
+    return report(metrics_at(judged(runs, relevant, key), staged, ks, by=("stage",)), "stage")
 
 
 #: Cumulative probabilities of a Poisson number of mean 1, up to 16.
@@ -175,6 +171,20 @@ def generation_metrics(runs: DataFrame) -> DataFrame:
     )
 
 
+def validity_rates(statements: DataFrame, excerpts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row: how many statements, citations and excerpts were checked, and the shares that were kept, resolve, and stand verbatim.
+
+    statements and excerpts as the resolvers give them; without any of a kind its share is null.
+    """
+    known = evidence.select("query_id", "evidence_id").distinct().withColumn("known", F.lit(1))
+    cited = statements.select("query_id", F.explode("evidence_ids").alias("evidence_id")).join(known, ["query_id", "evidence_id"], "left")
+    share = lambda c: F.avg(c.cast("double"))
+    one = statements.agg(F.count("*").alias("statements"), share(F.col("valid")).alias("statements_kept"))
+    two = cited.agg(F.count("*").alias("citations"), share(F.col("known").isNotNull()).alias("citations_valid"))
+    three = excerpts.agg(F.count("*").alias("excerpts"), share(F.col("valid")).alias("excerpts_verbatim"))
+    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))  # a row each
+
+
 def gate_scores(packed: DataFrame) -> DataFrame:
     """query_id, score of pack_summary's rows: the signal that the sufficiency gate would look at."""
     return packed.select("query_id", F.coalesce("top_rerank_score", "top_rrf_score").alias("score"))

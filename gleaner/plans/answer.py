@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normalized_question, script_language, sentences
@@ -46,8 +47,12 @@ def answer_batch(
     """
     spark = questions.sparkSession
 
+    seen: list[tuple[str, int, float]] = []
+
     def once(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{scratch}/{name}")
+        counted, began = Observation(name), time.monotonic()
+        rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{scratch}/{name}")
+        seen.append((name, counted.get["rows"], time.monotonic() - began))
         return spark.read.schema(rows.schema).parquet(f"{scratch}/{name}")
 
     asked = rules.match_rules(questions.withColumn("plain", normalized_question(F.col("query"))), "plain")
@@ -76,9 +81,23 @@ def answer_batch(
     refused = gated.where(weak).withColumns(gone | {"refusal_reason": ev.refusal_reason(F.col("sufficiency"))})
     none = F.array().cast("array<string>")
     referred = asked.where("asks").withColumns(gone | {"domains": none, "support_count": F.lit(0).cast("long"), "sufficiency": F.lit("OUT_OF_SCOPE"), "refusal_reason": F.lit("PRESCRIPTION_REQUEST")})
+    log_run(spark, seen, f"{scratch}/log")
     return finished(referred.unionByName(refused, allowMissingColumns=True).unionByName(answered, allowMissingColumns=True))
 
 
+RUN = "stage string, rows long, seconds double"
+
+
+def log_run(spark: SparkSession, seen: list[tuple[str, int, float]], path: str) -> None:
+    """The log of a run: a row for each stage with the rows that it was observed to write and its seconds; no text of a question."""
+    spark.createDataFrame(seen, RUN).coalesce(1).write.json(path)
+
+
+def read_run(spark: SparkSession, scratch: str) -> DataFrame:
+    """stage, rows, seconds of the run that used scratch."""
+    return spark.read.schema(RUN).json(f"{scratch}/log")
+
+
 def finished(rows: DataFrame) -> DataFrame:
     """What every exit ends with: risk, actions, limitations, message and trace."""
     rows = rules.assess_risk(rows, "query").withColumn("status", F.when(F.col("refusal_reason").isNull(), "success").otherwise("refused"))

@@ -8,7 +8,7 @@ from ..functions import constants as K
 from ..functions import text as X
 from ..operators import completion, contracts, evaluate, fusion, lexical, rerank, respond, rules
 from ..operators import evidence as ev
-from .answer import answer_batch
+from .answer import answer_batch, read_run
 from .queries import FUSED, METRICS, PACK, _any, _asked, _chunks, _pack, _rule_sql, _scores, _second, _t, _talk, query
 from .session import shared_folder
 
@@ -56,6 +56,32 @@ def multi_query_top10(spark, d):
     return top.select("query_id", "chunk_id", F.round("boosted_score", 9).alias("boosted_score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: SQL of a ranking {0}(query_id, chunk_id, r) by the words it shares with its question, five deep.
+BY_WORDS = r"(SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(q, t)) DESC, r) AS rank FROM (SELECT x.*, list_distinct(list_filter(string_split_regex(lower(b.text), '\s+'), lambda x: x <> '')) AS q, list_distinct(list_filter(string_split_regex(lower(d.text), '\s+'), lambda x: x <> '')) AS t FROM {0} x JOIN documents d ON d.doc_id = x.chunk_id JOIN benchmark b ON b.item_id = x.query_id) QUALIFY rank <= 5)"
+
+
+@query("WITH " + VARIANTS[: VARIANTS.index("\nSELECT query_id, chunk_id, round(s, 9)")] + f""", merged AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, {BEST.format('query_id', 's')} AS rank FROM one2 UNION ALL SELECT query_id, chunk_id, {BEST.format('query_id', 's')} FROM m4)),
+top AS (SELECT query_id, chunk_id, rank AS r FROM rk WHERE rank <= 25), wide AS (SELECT query_id, chunk_id, rank AS r FROM merged WHERE rank <= 25),
+ua AS (SELECT '1 dense' AS stage, query_id, chunk_id, orank AS rank FROM other UNION ALL SELECT '2 fused', query_id, chunk_id, rank FROM rk UNION ALL SELECT '3 reranked', * FROM {BY_WORDS.format('top')} UNION ALL SELECT '4 rewritten', * FROM {BY_WORDS.format('wide')}),
+rl AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), z AS (SELECT item_id AS query_id, (SELECT count(*) FROM rl WHERE rl.query_id = item_id) AS n FROM benchmark),
+mm AS (SELECT st.stage, z.query_id, count(rl.chunk_id) AS found, count(u.chunk_id) AS seen, max(n) AS n FROM z CROSS JOIN (SELECT DISTINCT stage FROM ua) st LEFT JOIN ua u ON u.query_id = z.query_id AND u.stage = st.stage AND rank <= 5 LEFT JOIN rl ON rl.query_id = u.query_id AND rl.chunk_id = u.chunk_id GROUP BY 1, 2)
+SELECT stage, CAST(count(*) AS BIGINT) AS queries, round(avg(found / greatest(n, 1)::DOUBLE), 6) AS recall, round(avg(CASE WHEN seen > 0 THEN found / seen::DOUBLE ELSE 0 END), 6) AS precision FROM mm GROUP BY stage""")
+def ablation_stages(spark, d):
+    """Dense alone, fused, reranked, and with a rewritten question: every question counts, also one without a relevant chunk."""
+    second, found = _second(spark, d), lexical.search(_chunks(spark, d), _asked(spark, d))
+    fused = fusion.rank(fusion.fuse(second, found), score="rrf_score")
+    asked = _asked(spark, d).select("query_id", F.explode(F.when(F.col("query_id") % 3 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("variant"))
+    dense = second.withColumn("variant", F.lit(0)).unionByName(second.where("query_id % 3 != 0").withColumn("variant", F.lit(1)))
+    wide = fusion.multi_query_search(asked, dense, found.withColumn("variant", F.lit(0)), _payload(spark, d), _predicted(spark, d), k=25)
+    texts = lambda run: run.where("rank <= 25").select("query_id", "rank", "chunk_id").join(_chunks(spark, d), "chunk_id").join(_asked(spark, d), "query_id")
+    best = lambda run: rerank.rerank(texts(run), seconds=3600.0)
+    stages = {"1 dense": second, "2 fused": fused, "3 reranked": best(fused), "4 rewritten": best(wide)}
+    relevant = lexical.holding(_chunks(spark, d), _asked(spark, d))
+    sizes = _asked(spark, d).select("query_id").join(relevant.groupBy("query_id").agg(F.count("*").alias("n_rel")), "query_id", "left")
+    shown = evaluate.ablation(stages, relevant, sizes, [5])
+    return shown.select("stage", "queries", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
 #: Four statements of each question, and a quote of the second, then the first piece.
 SAID = PACK + """, s AS (SELECT item_id AS query_id, k AS statement_no, CASE k WHEN 1 THEN ['E1'] WHEN 2 THEN ['E1', 'E9'] WHEN 3 THEN [] ELSE ['E2', 'E1'] END AS ids FROM benchmark, (SELECT unnest([1, 2, 3, 4]) AS k)),
 kn AS (SELECT query_id, list('E' || rank) AS known FROM p GROUP BY 1), o AS (SELECT s.*, len(ids) > 0 AND list_has_all(coalesce(known, []), ids) AS valid FROM s LEFT JOIN kn USING (query_id)),
@@ -294,15 +320,47 @@ SELECT query_id, CASE WHEN refusal IS NULL THEN 'success' ELSE 'refused' END AS
  CASE greatest(ar, fl) WHEN 3 THEN 'emergency' WHEN 2 THEN 'urgent_care' WHEN 1 THEN 'evaluation' ELSE 'guidance' END AS action_type, CAST(NULL AS VARCHAR) AS fallback_reason FROM ri"""
 
 
-@query(ANSWERS)
-def answers(spark, d):
+def _answered(spark, d, scratch):
     asked = _talk(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     chunks = _chunks(spark, d).withColumn("domains", F.array(F.lit("emergency")))
     vocabulary = {"emergency": ["chest", "bleeding", "speech"], "primary-care": ["cough", "mild"]}
-    found = answer_batch(asked, chunks, vocabulary, shared_folder(spark, "answers"), seconds=3600.0)
+    return answer_batch(asked, chunks, vocabulary, scratch, seconds=3600.0)
+
+
+@query(ANSWERS)
+def answers(spark, d):
+    found = _answered(spark, d, shared_folder(spark, "answers"))
     return found.select("query_id", "status", "refusal_reason", "sufficiency", "support_count", "statements", "evidence", "urgency", "floor_applied", "confidence", "action_type", "fallback_reason")
 
 
+@query(ANSWERS[: ANSWERS.index("\nSELECT query_id, CASE WHEN refusal")] + """
+SELECT stage, rows FROM (SELECT 'asked' AS stage, count(*) AS rows FROM qs UNION ALL SELECT 'store', count(*) FROM documents UNION ALL SELECT 'ranked', count(*) FROM ra UNION ALL SELECT 'packed', count(*) FROM re
+UNION ALL SELECT 'gated', count(*) FROM ga UNION ALL SELECT 'said', count(*) FROM sa WHERE length(said) > 0)""")
+def answer_log(spark, d):
+    scratch = shared_folder(spark, "answers")
+    _answered(spark, d, scratch)
+    return read_run(spark, scratch).select("stage", "rows")
+
+
+@query(ANSWERS[: ANSWERS.index("\nSELECT query_id, CASE WHEN refusal")] + """
+SELECT CAST(count(*) AS BIGINT) AS runs, CAST(count(*) FILTER (WHERE refusal = 'PRESCRIPTION_REQUEST') AS BIGINT) AS refused_before_retrieval, CAST(count(*) FILTER (WHERE refusal IN ('OUT_OF_SCOPE', 'INSUFFICIENT_EVIDENCE')) AS BIGINT) AS refused_by_gate,
+CAST(count(*) FILTER (WHERE refusal IN ('NO_VALID_STATEMENTS', 'DOSE_IN_ANSWER')) AS BIGINT) AS refused_after_generation, CAST(sum(statements) AS BIGINT) AS statements FROM ex""")
+def answer_report(spark, d):
+    found = _answered(spark, d, shared_folder(spark, "answers")).withColumn("outcome", F.lit("done"))
+    found = found.withColumn("sufficiency", F.when(F.col("refusal_reason") == "PRESCRIPTION_REQUEST", F.lit(None)).otherwise(F.col("sufficiency")))
+    return evaluate.generation_metrics(found).select("runs", "refused_before_retrieval", "refused_by_gate", "refused_after_generation", "statements")
+
+
+@query("WITH " + SAID + """, q AS (SELECT item_id AS query_id, 'E' || (3 - k) AS evidence_id, CASE WHEN (item_id + k) % 3 = 0 THEN upper(text) ELSE text END AS quote FROM benchmark, (SELECT unnest([1, 2]) AS k)),
+v AS (SELECT coalesce(contains(pi.text, quote), false) AS ok FROM q LEFT JOIN pi USING (query_id, evidence_id)), c AS (SELECT list_contains(coalesce(known, []), i) AS ok FROM (SELECT query_id, unnest(ids) AS i FROM s) LEFT JOIN kn USING (query_id))
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM o) AS statements, (SELECT round(avg(valid::INT), 9) FROM o) AS statements_kept, (SELECT CAST(count(*) AS BIGINT) FROM c) AS citations, (SELECT round(avg(ok::INT), 9) FROM c) AS citations_valid,
+(SELECT CAST(count(*) AS BIGINT) FROM v) AS excerpts, (SELECT round(avg(ok::INT), 9) FROM v) AS excerpts_verbatim""")
+def validity_rates(spark, d):
+    pack = _pack(spark, d)
+    found = evaluate.validity_rates(_said(spark, d, pack), ev.resolve_excerpts(_quotes(spark, d), pack), pack)
+    return found.withColumns({c: F.round(c, 9) for c in ("statements_kept", "citations_valid", "excerpts_verbatim")})
+
+
 def _stand_in():
     """A model that answers by the length of the first line: well, in a fence, well at the second time, or never with all fields."""
 

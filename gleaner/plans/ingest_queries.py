@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import constants as K
+from ..functions.text import count_tokens
 from ..operators import chunking, documents, layout
+from ..sources import spans as spans_of
 from .page_queries import BLOCKS, HEADINGS, NORM, RULE, _grids
-from .queries import CLEANED, JOINED, SQL, _lines, _t, query
+from .queries import CLEANED, JOINED, LINES, SQL, _lines, _t, query
+from .session import shared_folder
 
 #: SQL of cleaned blocks, bl: each seventh page's headings are called References, so that whole pages go.
 CLEANED_BLOCKS = BLOCKS + f""", tl AS (SELECT document_id, page_number, y0, text, at_ FROM al WHERE block_type = 'text'),
@@ -151,3 +155,32 @@ SQL["section_chunks"] = "WITH RECURSIVE " + TEXT_BLOCKS + BY_SECTION + SECTION_A
  upper(nullif(concat(regexp_extract(ch.text, '{K.GRADE}', 1), regexp_extract(ch.text, '{K.GRADE}', 2)), '')) AS evidence_grade, CAST(NULL AS VARCHAR) AS recommendation_class, ch.text,
  'Document ' || document_id || ' > ' || section_path || chr(10) || chr(10) || ch.text AS embedded_text, CAST(token_count AS INT) AS token_count, 'sha256:' || sha256(ch.text) AS content_hash,
  '1.0' AS kb_version, 'multi-v2' AS chunking_version, 'hashed-64' AS embedding_version, 'S1' AS chunking_config, false AS oversized FROM ch JOIN documents d ON d.doc_id = ch.document_id"""
+
+
+@query("WITH " + LINES + r""", x AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN 50.0::DOUBLE ELSE 450.0::DOUBLE END AS x0 FROM ln WHERE length(trim(regexp_replace(text, '[\s\x0b\x0c\x1c-\x1f\x85\xa0]+', ' ', 'g'))) > 0)
+SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY CASE WHEN x0 < 300 THEN 0 ELSE 1 END, y0, x0) - 1 AS line_no, x0, y0, text,
+ CASE WHEN length(trim(left(text, 5))) > 0 AND length(trim(substr(text, 6))) > 0 THEN [10.1::DOUBLE, 12.0::DOUBLE] WHEN length(trim(left(text, 5))) > 0 THEN [10.1::DOUBLE] ELSE [12.0::DOUBLE] END AS font_sizes,
+ length(trim(substr(text, 6))) > 0 AND line_no % 3 = 0 AS bold FROM x""")
+def span_lines(spark, d):
+    """Documents written as page objects with two spans and a blank one a line, read back and flattened."""
+    text, no = F.col("text"), F.col("line_no")
+    x0 = F.when(no % 2 == 0, 50.0).otherwise(450.0)
+    span = lambda t, size, font: F.struct(t.alias("text"), F.lit(size).alias("size"), font.alias("font"))
+    spans = F.array(span(F.substring(text, 1, 5), 10.14, F.lit("Serif")), span(F.lit("  "), 9.0, F.lit("Serif-Bold")), span(F.substr(text, F.lit(6)), 11.96, F.when(no % 3 == 0, F.lit("Sans-SemiBold")).otherwise(F.lit("Sans"))))
+    line = F.struct(F.array(x0, F.col("y0"), x0 + 100, F.col("y0") + 10).alias("bbox"), spans.alias("spans"))
+    pages = _lines(spark, d).groupBy("document_id", F.col("page_number").cast("int").alias("number")).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]).alias("lines"))
+    blocks = F.array(F.struct(F.lit(None).cast(dict(pages.dtypes)["lines"]).alias("lines")), F.struct("lines"))
+    folder = shared_folder(spark, "spans")
+    pages.select("document_id", "number", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), blocks.alias("blocks")).write.json(folder)
+    found = spans_of.lines_of_pages(spans_of.read_page_dicts(spark, folder))
+    return found.select("document_id", F.col("page_number").cast("long").alias("page_number"), F.col("line_no").cast("long").alias("line_no"), "x0", "y0", "text", "font_sizes", "bold")
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT source AS part, doc_id AS id, {_tokens("text")} AS tokens FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY tokens DESC, id) AS i FROM t),
+g AS (SELECT part, id, i, 0 AS batch, tokens, tokens AS longest, 1 AS n FROM o WHERE i = 1 UNION ALL
+ SELECT o.part, o.id, o.i, CASE WHEN longest * (n + 1) > 8192 THEN batch + 1 ELSE batch END, o.tokens, CASE WHEN longest * (n + 1) > 8192 THEN o.tokens ELSE longest END, CASE WHEN longest * (n + 1) > 8192 THEN 1 ELSE n + 1 END
+ FROM g JOIN o ON o.part = g.part AND o.i = g.i + 1) SELECT part, id, CAST(batch AS INT) AS batch, CAST(tokens AS INT) AS tokens FROM g""")
+def token_batches(spark, d):
+    batches.register(spark)
+    rows = _t(spark, d, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("id"), count_tokens(F.col("text")).alias("tokens"), F.lit(8192).alias("budget"))
+    return spark.sql("SELECT * FROM token_batches(TABLE({rows}) PARTITION BY part ORDER BY (tokens DESC, id))", rows=rows)
