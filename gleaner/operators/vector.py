@@ -89,19 +89,37 @@ def budget_batches(lengths: Iterable[int], budget: int = 8192, cap: int | None =
 
 
 def embed(spark: SparkSession, rows: DataFrame, encode, key: str, text: str, prefix: str, dim: int, budget: int = 8192) -> DataFrame:
-    """key, embedding: encode(list of texts) called with batches of a token budget; a vector of another length is an error."""
+    """key, embedding: encode(list of texts) called with batches of a token budget; a vector of another length is an error.
+
+    A task sorts its rows by length, longest first, and batches run on from one Arrow batch to the next: as budget_batches over the whole
+    task, with one batch of texts in memory. Spark sorts and may spill. A null text is an empty one.
+    """
+    kind = dict(rows.dtypes)[key]
 
     def run(batches):
         import pyarrow as pa
 
+        held: list[tuple] = []
+        longest = 0
+
+        def out():
+            found = encode([t for _, t in held])
+            for v in found:
+                if len(v) != dim:
+                    raise ValueError(f"the model gave {len(v)} components, not {dim}")
+            vectors = [[float(x) for x in v] for _, v in zip(held, found, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], types[0]), pa.array(vectors, pa.list_(pa.float64()))], names=[key, "embedding"])
+
         for b in batches:
-            texts = [prefix + (t or "") for t in b.column(1).to_pylist()]
-            out: list = [None] * len(texts)
-            for batch in budget_batches([len(t.split()) for t in texts], budget):
-                for i, v in zip(batch, encode([texts[i] for i in batch]), strict=True):
-                    if len(v) != dim:
-                        raise ValueError(f"the model gave {len(v)} components, not {dim}")
-                    out[i] = [float(x) for x in v]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "embedding"])
-
-    return rows.select(key, text).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<double>")
+            types = [b.schema.field(0).type]
+            for k, t, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and longest * (len(held) + 1) > budget:
+                    yield out()
+                    held = []
+                longest = n if not held else longest
+                held.append((k, prefix + (t or "")))
+        if held:
+            yield out()
+
+    sized = rows.select(key, text, F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).alias("__tokens"))
+    return sized.sortWithinPartitions(F.col("__tokens").desc(), key).mapInArrow(run, f"{key} {kind}, embedding array<double>")

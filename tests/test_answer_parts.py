@@ -74,9 +74,10 @@ def test_chunks_of_a_configuration(spark, tmp_path):
     vectors = chunks.select("chunk_id", F.array(F.lit(1.0)).alias("embedding"))
     assert tables.publish_chunks(chunks, vectors, str(tmp_path), "S1", "v1") == {"chunks": 2, "over": 1}
     assert tables.publish_chunks(chunks.limit(1), vectors.limit(1), str(tmp_path), "S2", "v1")["chunks"] == 1
-    assert spark.read.parquet(f"{tmp_path}/chunks").count() == 3
-    with pytest.raises(ValueError, match="expected"):
+    assert [tables.read_published_chunks(spark, str(tmp_path), c)[0].count() for c in ("S1", "S2")] == [2, 1]
+    with pytest.raises(ValueError, match="1 vectors for 2 chunks"):
         tables.publish_chunks(chunks, vectors.limit(1), str(tmp_path), "S1", "v2")
+    assert tables.read_published_chunks(spark, str(tmp_path), "S1")[0].count() == 2
 
 
 def test_chunks_keep_their_place_in_the_file(spark, tmp_path):

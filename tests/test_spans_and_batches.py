@@ -49,3 +49,27 @@ def test_batches_like_a_loop(spark):
         sizes = [r[2] for r in rows if r[0] == str(p)]
         want = {i: n for n, batch in enumerate(budget_batches(sizes)) for i in batch}
         assert {r.id: r.batch for r in got if r.part == str(p)} == want
+
+
+@pytest.mark.parametrize("rows_a_batch", ["10000", "7"])
+def test_embedder_batches_run_over_arrow_batches(spark, rows_a_batch):
+    """The batches that the model sees are those of a plain loop over the task's texts, whatever Arrow cuts."""
+    from gleaner.operators import vector
+
+    rng = random.Random(6)
+    sizes = [rng.choice([0, 1, 3, 9, 30, 700]) for _ in range(120)]
+    rows = spark.createDataFrame([(i, " ".join(["w"] * n) or None) for i, n in enumerate(sizes)], "id long, text string").coalesce(1)
+
+    def encode(texts):
+        tag = float(hash(tuple(sorted(len(t.split()) for t in texts))) % 10**6)
+        return [[float(len(texts)), tag] for _ in texts]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = {r.id: r.embedding[0] for r in vector.embed(spark, rows, encode, "id", "text", "", 2, budget=60).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {i: len(batch) for batch in budget_batches(sizes, 60) for i in batch}
+    assert got == want
+    with pytest.raises(Exception, match="2 components, not 3"):
+        vector.embed(spark, rows, encode, "id", "text", "", 3).collect()
