@@ -91,13 +91,18 @@ def overlapping_intervals(intervals: DataFrame, group: str) -> DataFrame:
     return a.join(b, F.col(f"a.{group}") < F.col(f"b.{group}")).select(F.col(f"a.{group}").alias("left"), F.col(f"b.{group}").alias("right"), ((F.col("a.low") <= F.col("b.high")) & (F.col("b.low") <= F.col("a.high"))).alias("overlap"))
 
 
-def running(rows: DataFrame, value: str, sums: list[str], parts: int = 256) -> DataFrame:
+#: Values of a range that one task orders.
+RANGE = 1_000_000
+
+
+def running(rows: DataFrame, value: str, sums: list[str], parts: int | None = None) -> DataFrame:
     """rows, one for each value, with next (the next larger value) and, of each of sums, upto_<c> and total_<c>.
 
-    Values are cut into ranges at approximate quantiles, so no task orders them all; only the sums of the ranges, parts rows
-    at most, are ordered in one task and broadcast.
+    Values are cut into ranges at approximate quantiles, as many as keep a range near RANGE values, so no task orders them all; only
+    the sums of the ranges, parts rows at most, are ordered in one task and broadcast.
     """
-    cuts = sorted(set(rows.approxQuantile(value, [i / parts for i in range(1, parts)], 0.25 / parts)))
+    parts = parts or max(1, -(-rows.count() // RANGE))
+    cuts = [] if parts == 1 else sorted(set(rows.approxQuantile(value, [i / parts for i in range(1, parts)], 0.25 / parts)))
     cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
     cells = rows.withColumn("__cell", cell)
     inner, outer = Window.partitionBy("__cell").orderBy(value), Window.orderBy("__cell")

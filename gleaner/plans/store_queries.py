@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import count_tokens
-from ..operators import lexical, vector
+from ..operators import lexical, logs, vector
 from ..sources import tables as src
 from .queries import BM25, _asked, _chunks, _t, query
 from .session import shared_folder
@@ -66,3 +66,24 @@ def _counts(texts: list[str]) -> list[list[float]]:
 @query("SELECT doc_id, [length('passage: ' || text)::DOUBLE, length(regexp_replace('passage: ' || text, '[^ ]', '', 'g'))::DOUBLE, length(regexp_replace(text, '[^\\n]', '', 'g'))::DOUBLE] AS embedding FROM documents")
 def embedded_passages(spark, d):
     return vector.embed(spark, _t(spark, d, "documents"), _counts, "doc_id", "text", "passage: ", 3)
+
+
+def _requests(spark, d):
+    """Pages as requests: what a page's url asks for, in as many seconds as its html has 65,536 characters; some without an answer."""
+    pages = _t(spark, d, "pages")
+    status = F.when(F.length("html") % 10 == 0, F.lit(None)).when(F.contains("url", F.lit("utm_source")), 404).otherwise(200)
+    return pages.select(F.col("page_id").alias("request_id"), F.lit("GET").alias("method"), F.col("url").alias("target"), status.alias("status"), (F.length("html") / 65_536).alias("seconds"), F.col("html").alias("body"))
+
+
+LOG = """lg AS (SELECT CAST(page_id AS VARCHAR) AS request_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) AS path,
+CAST(CASE WHEN length(html) % 10 = 0 THEN 500 WHEN contains(url, 'utm_source') THEN 404 ELSE 200 END AS INT) AS status, round_even(length(html) / 65536.0::DOUBLE * 1000, 1) AS duration_ms, '<' || length(html) || ' chars>' AS body FROM pages)"""
+
+
+@query("WITH " + LOG + " SELECT request_id, CASE WHEN status >= 500 THEN 'ERROR' ELSE 'INFO' END AS level, 'request completed' AS message, 'GET' AS method, path, status, duration_ms, body FROM lg")
+def request_log(spark, d):
+    return logs.request_rows(_requests(spark, d))
+
+
+@query("WITH " + LOG + " SELECT CASE WHEN length(path) > 64 THEN '<omitted: ' || length(path) || ' chars>' ELSE path END AS path, CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE status >= 500) AS BIGINT) AS errors, max(duration_ms) AS slowest_ms FROM lg GROUP BY 1")
+def request_metrics(spark, d):
+    return logs.stage_metrics(logs.metric_rows(logs.request_rows(_requests(spark, d))))
