@@ -9,8 +9,8 @@ from ..functions import text as X
 from ..operators import completion, contracts, evaluate, fusion, lexical, rerank, respond, rules
 from ..operators import evidence as ev
 from .answer import answer_batch, read_run
-from .queries import FUSED, METRICS, PACK, _any, _asked, _chunks, _pack, _rule_sql, _scores, _second, _t, _talk, query
-from .session import shared_folder
+from .queries import FUSED, METRICS, PACK, _any, _asked, _chunks, _newest, _pack, _rule_sql, _scores, _second, _t, _talk, query
+from .session import once, shared_folder
 
 BEST = "row_number() OVER (PARTITION BY {0} ORDER BY round({1}, 12) DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id)"
 
@@ -32,7 +32,7 @@ PAID = """, pay AS (SELECT f.*, rrf + CASE WHEN f.dense_rank IS NOT NULL AND d.l
 k AS (SELECT * FROM o QUALIFY h IS NULL OR row_number() OVER (PARTITION BY query_id, h ORDER BY r) = 1)
 SELECT query_id, chunk_id, round(s, 9) AS boosted_score, CAST({BEST.format('query_id', 's')} AS BIGINT) AS rank FROM k QUALIFY rank <= 10""")
 def hybrid_top10(spark, d):
-    found = fusion.hybrid_search(_second(spark, d), lexical.search(_chunks(spark, d), _asked(spark, d)), _payload(spark, d), _predicted(spark, d))
+    found = fusion.hybrid_search(once(_second(spark, d), "second"), lexical.search(_chunks(spark, d), _asked(spark, d)), _payload(spark, d), _predicted(spark, d))
     return found.select("query_id", "chunk_id", F.round("boosted_score", 9).alias("boosted_score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -49,9 +49,9 @@ SELECT query_id, chunk_id, round(s, 9) AS boosted_score, CAST(rank AS BIGINT) AS
 @query("WITH " + VARIANTS)
 def multi_query_top10(spark, d):
     asked = _asked(spark, d).select("query_id", F.explode(F.when(F.col("query_id") % 3 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("variant"))
-    second = _second(spark, d)
+    second = once(_second(spark, d), "second")
     dense = second.withColumn("variant", F.lit(0)).unionByName(second.where("query_id % 3 != 0").withColumn("variant", F.lit(1)))
-    found = lexical.search(_chunks(spark, d), _asked(spark, d)).withColumn("variant", F.lit(0))
+    found = once(lexical.search(_chunks(spark, d), _asked(spark, d)), "found").withColumn("variant", F.lit(0))
     top = fusion.multi_query_search(asked, dense, found, _payload(spark, d), _predicted(spark, d))
     return top.select("query_id", "chunk_id", F.round("boosted_score", 9).alias("boosted_score"), F.col("rank").cast("long").alias("rank"))
 
@@ -68,15 +68,15 @@ mm AS (SELECT st.stage, z.query_id, count(rl.chunk_id) AS found, count(u.chunk_i
 SELECT stage, CAST(count(*) AS BIGINT) AS queries, round(avg(found / greatest(n, 1)::DOUBLE), 6) AS recall, round(avg(CASE WHEN seen > 0 THEN found / seen::DOUBLE ELSE 0 END), 6) AS precision FROM mm GROUP BY stage""")
 def ablation_stages(spark, d):
     """Dense alone, fused, reranked, and with a rewritten question: every question counts, also one without a relevant chunk."""
-    second, found = _second(spark, d), lexical.search(_chunks(spark, d), _asked(spark, d))
+    relevant = once(lexical.holding(_chunks(spark, d), _asked(spark, d)), "relevant")
+    second, found = once(_newest(relevant), "second"), once(lexical.search(_chunks(spark, d), _asked(spark, d)), "found")
     fused = fusion.rank(fusion.fuse(second, found), score="rrf_score")
     asked = _asked(spark, d).select("query_id", F.explode(F.when(F.col("query_id") % 3 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("variant"))
     dense = second.withColumn("variant", F.lit(0)).unionByName(second.where("query_id % 3 != 0").withColumn("variant", F.lit(1)))
-    wide = fusion.multi_query_search(asked, dense, found.withColumn("variant", F.lit(0)), _payload(spark, d), _predicted(spark, d), k=25)
+    wide = once(fusion.multi_query_search(asked, dense, found.withColumn("variant", F.lit(0)), _payload(spark, d), _predicted(spark, d), k=25), "wide")
     texts = lambda run: run.where("rank <= 25").select("query_id", "rank", "chunk_id").join(_chunks(spark, d), "chunk_id").join(_asked(spark, d), "query_id")
     best = lambda run: rerank.rerank(texts(run), seconds=3600.0)
     stages = {"1 dense": second, "2 fused": fused, "3 reranked": best(fused), "4 rewritten": best(wide)}
-    relevant = lexical.holding(_chunks(spark, d), _asked(spark, d))
     sizes = _asked(spark, d).select("query_id").join(relevant.groupBy("query_id").agg(F.count("*").alias("n_rel")), "query_id", "left")
     shown = evaluate.ablation(stages, relevant, sizes, [5])
     return shown.select("stage", "queries", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))

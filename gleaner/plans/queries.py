@@ -13,7 +13,7 @@ from ..operators import chunking, contracts, evaluate, fusion, inverted_index, l
 from ..operators import evidence as ev
 from ..sources import tables as src
 from ..streaming import limiter
-from .session import shared_folder, spread
+from .session import once, shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,7 +89,10 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12
 
 
 def _second(spark, d):
-    hits = lexical.holding(_chunks(spark, d), _asked(spark, d)).select("query_id", "chunk_id")
+    return _newest(lexical.holding(_chunks(spark, d), _asked(spark, d)))
+
+
+def _newest(hits):
     by = Window.partitionBy("query_id").orderBy(F.col("chunk_id").desc())
     return hits.withColumn("rank", F.row_number().over(by)).where("rank <= 25").withColumn("score", F.lit(1.0))
 
@@ -195,8 +198,9 @@ u AS (SELECT 'bm25' AS stage, query_id, chunk_id, rank FROM bm UNION ALL SELECT
 m AS (SELECT stage, z.query_id, coalesce(sum(CASE WHEN rl.chunk_id IS NOT NULL THEN 1 ELSE 0 END) FILTER (WHERE u.rank <= 5), 0) / n::DOUBLE AS recall FROM z JOIN u USING (query_id) LEFT JOIN rl ON rl.query_id = u.query_id AND rl.chunk_id = u.chunk_id GROUP BY stage, z.query_id, n)
 SELECT stage, CAST(count(*) AS BIGINT) AS queries, round(avg(recall), 6) AS recall FROM m GROUP BY stage""")
 def ablation(spark, d):
-    relevant = lexical.holding(_chunks(spark, d), _asked(spark, d)).select("query_id", "chunk_id")
-    stages = {"bm25": lexical.search(_chunks(spark, d), _asked(spark, d)), "fused": fusion.rank(_fused(spark, d), score="rrf_score")}
+    relevant = once(lexical.holding(_chunks(spark, d), _asked(spark, d)), "relevant")
+    found = once(lexical.search(_chunks(spark, d), _asked(spark, d)), "found")
+    stages = {"bm25": found, "fused": fusion.rank(fusion.fuse(_newest(relevant), found), score="rrf_score")}
     return evaluate.ablation(stages, relevant, relevant.groupBy("query_id").agg(F.count("*").alias("n_rel")), [5]).select("stage", "queries", F.round("recall", 6).alias("recall"))
 
 
@@ -343,7 +347,7 @@ def decisions(spark, d):
 def _pack(spark, d):
     hits = lexical.holding(_chunks(spark, d), _asked(spark, d)).select("query_id", "chunk_id")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where("rank <= 5")
-    return ev.pack(ranked.withColumns({"rrf_score": 1.0 / (60 + F.col("rank")), "rerank_score": F.lit(None).cast("double")}), _chunks(spark, d))
+    return once(ev.pack(ranked.withColumns({"rrf_score": 1.0 / (60 + F.col("rank")), "rerank_score": F.lit(None).cast("double")}), _chunks(spark, d)), "pack")
 
 
 PACK = "p AS (SELECT * FROM (SELECT item_id AS query_id, doc_id AS chunk_id, d.text, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE rank <= 5)"

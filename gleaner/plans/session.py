@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def once(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read again: what a plan uses more than once is computed once."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """A table that comes in fewer parts than there are cores is dealt out to them; a larger one stays as it is, without a shuffle."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
