@@ -116,11 +116,11 @@ def statement_citations(spark, d):
     return found.select("query_id", "statement_no", F.col("statement_id").cast("long").alias("statement_id"), F.col("citations").cast("array<long>").alias("citations"))
 
 
-@query("WITH " + SAID + " SELECT x.query_id, x.evidence_id, d.doc_id AS chunk_id, d.lang, d.source FROM (SELECT DISTINCT query_id, unnest(ids) AS evidence_id FROM s) x LEFT JOIN pi USING (query_id, evidence_id) LEFT JOIN documents d ON d.doc_id = pi.chunk_id AND d.doc_id % 5 <> 0")
+@query("WITH " + SAID + " SELECT x.query_id, x.evidence_id, d.doc_id AS chunk_id, d.lang, d.source FROM (SELECT DISTINCT query_id, unnest(ids) AS evidence_id FROM s) x LEFT JOIN pi USING (query_id, evidence_id) LEFT JOIN documents d ON d.doc_id = pi.chunk_id")
 def cited_sources(spark, d):
     pack = _pack(spark, d)
     cited = _said(spark, d, pack).select("query_id", F.explode("evidence_ids").alias("evidence_id")).distinct()
-    store = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", F.lit(True).alias("__known")).where("chunk_id % 5 != 0")
+    store = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", F.lit(True).alias("__known"))
     found = respond.cited_metadata(cited, pack, store)
     return found.select("query_id", "evidence_id", F.when(F.col("__known"), F.col("chunk_id")).alias("chunk_id"), "lang", "source")
 
@@ -157,13 +157,13 @@ def gate_signals(spark, d):
 
 @query(_rule_sql() + f""", f AS (SELECT conv_id, turn, max(floor_rank) AS fl, list(rule_id ORDER BY rule_id) AS rules FROM r GROUP BY 1, 2),
 z AS (SELECT n.conv_id, n.turn, coalesce(fl, 0) AS fl, coalesce(rules, []) AS rules, {_any(K.SEVERITY_TERMS)} AS sv, {_any(K.ACUTE_TERMS)} AS ac, {_any(K.VULNERABLE_TERMS)} AS vu FROM n LEFT JOIN f USING (conv_id, turn)),
-y AS (SELECT *, greatest(CASE WHEN sv THEN 2 WHEN ac OR vu THEN 1 ELSE 0 END, fl) AS u, [CAST(i AS BIGINT) FOR i IN [1, 2, 3] IF (conv_id + i) % 3 = 0] AS ids FROM z WHERE turn % 2 = 0),
+y AS (SELECT *, greatest(CASE WHEN sv THEN 2 WHEN ac OR vu THEN 1 ELSE 0 END, fl) AS u, [CAST(i AS BIGINT) FOR i IN [1, 2, 3] IF (conv_id + i) % 3 = 0] AS ids FROM z),
 x AS (SELECT *, round_even(0.55::DOUBLE + 3 * 0.02::DOUBLE + CASE WHEN len(rules) > 0 THEN 0.10::DOUBLE ELSE 0 END, 2) AS c FROM y)
 SELECT conv_id * 1000 + turn AS query_id, list_extract(['LOW', 'MODERATE', 'HIGH', 'CRITICAL'], CAST(u AS INT) + 1) AS level, CASE WHEN c >= 0.70 THEN 'strong' WHEN c >= 0.45 THEN 'moderate' ELSE 'weak' END AS band, c AS confidence, rules, ids AS evidence_ids FROM x WHERE len(ids) > 0""")
 def risk_reports(spark, d):
     rows = rules.match_rules(_talk(spark, d).withColumn("plain", F.lower(X.squeeze(F.col("text")))), "plain")
     rows = rows.withColumns({"query_id": F.col("conv_id") * 1000 + F.col("turn"), "domains": F.array().cast("array<string>"), "sufficiency": F.lit("PARTIAL"), "support_count": F.lit(3)})
-    shown = rows.where("turn % 2 = 0").select("query_id", "conv_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("index")).withColumn("selected", (F.col("conv_id") + F.col("index")) % 3 == 0)
+    shown = rows.select("query_id", "conv_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("index")).withColumn("selected", (F.col("conv_id") + F.col("index")) % 3 == 0)
     found = respond.risk_blocks(rules.assess_risk(rows, "plain"), shown)
     return found.select("query_id", "level", "band", "confidence", F.array_sort("rules").alias("rules"), F.col("evidence_ids").cast("array<long>").alias("evidence_ids"))
 

@@ -11,17 +11,17 @@ from .queries import BM25, _asked, _chunks, _t, query
 from .session import shared_folder
 
 
-@query("WITH " + BM25 + " SELECT 'b' AS config_id, query_id, CAST(rank AS INT) AS rank, CAST(chunk_id AS VARCHAR) AS chunk_id, round(score, 5) AS score FROM bm WHERE query_id % 2 = 0 AND rank <= 5")
+@query("WITH " + BM25 + " SELECT c AS config_id, CASE WHEN query_id % 2 = 0 THEN 'dev' ELSE 'golden' END AS split, query_id, CAST(rank AS INT) AS rank, CAST(chunk_id AS VARCHAR) AS chunk_id, round(score, 5) AS score FROM bm, (VALUES ('a'), ('b')) t(c) WHERE rank <= 5 AND (c = 'b' OR rank = 1)")
 def stored_runs(spark, d):
-    """Runs of two configurations and splits; one is written twice, the second time whole; the split that is asked for is read."""
+    """Runs of two configurations and splits; one is written twice, the second time whole; the locked split is read on purpose."""
     found = lexical.search(_chunks(spark, d), _asked(spark, d), k=5).withColumn("split", F.when(F.col("query_id") % 2 == 0, "dev").otherwise("golden"))
     runs = found.select("split", "query_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "score")
     path = shared_folder(spark, "runs")
     src.write_runs(runs.limit(3).withColumn("config_id", F.lit("b")), path)
     src.write_runs(runs.withColumn("config_id", F.lit("b")), path)
     src.write_runs(runs.where("rank = 1").withColumn("config_id", F.lit("a")), path)
-    dev = src.read_runs(spark, path, "dev").where("config_id = 'b'")
-    return dev.select("config_id", "query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
+    both = src.read_runs(spark, path, "dev").unionByName(src.read_runs(spark, path, "golden", unlock=True))
+    return both.select("config_id", "split", "query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
 
 
 @query("""WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 0 ELSE 1 + item_id % 2 END AS n FROM benchmark)

@@ -115,9 +115,13 @@ def replay(spark: SparkSession, events: DataFrame, limit: int, window: float, fo
 
     The events arrive in folder/in, the answers are in folder/out; both and the state must lie where all executors reach them.
     """
-    with_state = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(with_state, None)
-    spark.conf.set(with_state, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # timers of a run fire in the next one: no batch for them alone
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         cuts = events.approxQuantile("at", [i / parts for i in range(1, parts)], 0.001)
         schema = events.select("key", "event_id", "at").schema
@@ -131,8 +135,6 @@ def replay(spark: SparkSession, events: DataFrame, limit: int, window: float, fo
             run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append")
             run.trigger(availableNow=True).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(with_state)
-        else:
-            spark.conf.set(with_state, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(OUT.format(key=dict(events.dtypes)["key"])).parquet(f"{folder}/out")
