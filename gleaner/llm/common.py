@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +41,28 @@ def staged_at(spark: SparkSession, df: DataFrame, *by: str) -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: The folders of staged() since the innermost scratch() began; null outside of one.
+_since: ContextVar[list[str] | None] = ContextVar("since", default=None)
+
+
 def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read again: cuts lineage, and every later use sees the same rows."""
-    return staged_at(spark, df)[0]
+    rows, path = staged_at(spark, df)
+    if (paths := _since.get()) is not None:
+        paths.append(path)
+    return rows
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """At its end, the folders of all staged() calls inside are deleted: what was made of them must have been written by then."""
+    token = _since.set([])
+    try:
+        yield
+    finally:
+        for path in _since.get():
+            discard(spark, path)
+        _since.reset(token)
 
 
 def discard(spark: SparkSession, path: str) -> None:

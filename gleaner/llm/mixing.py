@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, staged, unit_interval
 
-#: Cells of one size bucket in a source for every ROWS rows of the table; with at most 8 buckets for each bit of a size, a source has at most 64 * 8 times as many.
-SPLITS, ROWS = 64, 6_400_000
+#: A size bucket of a source has 2**SPLIT_BITS cells, twice as many with each doubling of the table beyond ROWS rows. Cells are ranges of one order, so their number doesn't change what is drawn.
+SPLIT_BITS, ROWS, HASH_BITS = 6, 6_400_000, 60
 
 
 def size_bucket(size: Column) -> Column:
@@ -48,45 +49,47 @@ def mix_sources(
     """doc_id, source, size, source_size, target, copies and taken of every row of docs(doc_id, text, source).
 
     A document's expected copies are its source's target / source_size. Their prefix sum runs over the source's
-    documents by size, so each stretch of sizes is drawn alike; one offset per source is added, and a document is
-    emitted once for each integer that its stretch of the sum crosses. The sum is the rank times a constant, and
-    the rank is a count over bounded cells plus a rank within a cell: no task holds a source.
+    documents by size bucket and then by a hash of id and text, so each stretch of sizes is drawn alike; one offset per
+    source is added, and a document is emitted once for each integer that its stretch of the sum crosses. The sum is the
+    rank times a constant. The order is the same for every number of rows; the rank in it is a count over cells plus a
+    rank within a cell, and the count has two levels (groups of cells, cells of a group): no task holds a source.
     Null text has size 0; a null source is a source of its own; repeated rows each count; an empty table
     gives an empty result; sources without words have target 0 and nothing is taken. With whole, the result has the
     columns of docs and copies instead; names that start with two underscores are used inside.
     """
-    id_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    more = max(1, -(-docs.count() // ROWS))
-    sized = (
-        docs.select(
-            "doc_id",
-            "source",
-            *([F.struct(*docs.columns).alias("__row"), F.xxhash64("text").alias("__tie")] if whole else [F.lit(0).alias("__row"), F.lit(0).alias("__tie")]),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ).withColumns(
-            {
-                "bucket": size_bucket(F.col("size")),
-                "part": F.conv(F.substring(id_hash, 1, 2), 16, 10).cast("int") % SPLITS,
-                "sub": (F.conv(F.substring(id_hash, 3, 8), 16, 10).cast("long") % more).cast("int"),
-                "key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),  # never null, so that the window and the join share a shuffle
-            }
-        )
+    told = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    bits = SPLIT_BITS + max(0, math.ceil(math.log2(max(1, docs.count()) / ROWS)))
+    sized = docs.select(
+        "doc_id",
+        "source",
+        (F.struct(*docs.columns) if whole else F.lit(0)).alias("__row"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.conv(F.substring(F.md5(told.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"),
+    ).withColumns(
+        {
+            "bucket": size_bucket(F.col("size")),
+            "part": F.shiftright("hash", HASH_BITS - bits),
+            "key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),  # never null, so that the window and the join share a shuffle
+        }
     )
     if not whole:
         sized = staged(spark, sized)
-    cell = ["key", "bucket", "part", "sub"]
-    cells = sized.groupBy("source", *cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    cell, group = ["key", "bucket", "part"], ["key", "bucket", "high"]
+    cells = staged(spark, sized.groupBy("source", *cell).agg(F.count("*").alias("n"), F.sum("size").alias("words")).withColumn("high", F.shiftright("part", bits - SPLIT_BITS)))
     targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    before = Window.partitionBy("key").orderBy("bucket", "part", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    preceding = lambda by, *order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = cells.groupBy(*group).agg(F.sum("n").alias("n")).withColumn("first", preceding(["key"], "bucket", "high")).drop("n")
     starts = (
-        cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        cells.withColumn("inner", preceding(group, "part"))
+        .join(groups, group)
+        .withColumn("start", F.col("first") + F.col("inner"))
         .alias("c")
         .join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
         .select(*(f"c.{x}" for x in cell), "start", "source_size", "target")
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit_interval(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00"))))
-    inside = Window.partitionBy(*cell).orderBy("size", F.col("doc_id").asc_nulls_last(), "__tie")
+    inside = Window.partitionBy(*cell).orderBy("hash", "size", F.col("doc_id").asc_nulls_last())
     drawn = (
         sized.withColumn("rank", F.row_number().over(inside))
         .join(starts, cell)

@@ -106,7 +106,7 @@ def oracle_sql() -> dict[str, str]:
 OP6 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS INT) % 64 AS part FROM documents),
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash FROM documents),
 cells AS (
   SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS bucket FROM sized),
 sources AS (
@@ -124,7 +124,7 @@ targets AS (
          CAST(CAST('0x' || substr(md5('mix:' || coalesce(l.source, chr(0))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM levels l LEFT JOIN reached r ON true),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, part, size, doc_id NULLS LAST) AS k FROM cells),
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, hash, size, doc_id NULLS LAST) AS k FROM cells),
 rated AS (
   SELECT r.doc_id, r.size, r.k, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS f
   FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)

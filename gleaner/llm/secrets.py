@@ -24,14 +24,18 @@ _KEY = "A-Za-z0-9_+/=-"
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 _VALUE = rf"[^\s\"'{OPEN}{CLOSE}]{{6,}}+"
 _SIGN = r"[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?"
-#: A block of a private key, a signed token of three parts, what is assigned to a name of secrets, or a run of key characters with a digit.
+#: What stands before a password in the user part of a URI.
+_USER = rf"://[^\s/:@?#\"'{OPEN}{CLOSE}]{{0,60}}:"
+_PASSWORD = rf"[^\s/@\"'{OPEN}{CLOSE}]{{6,}}+(?=@[A-Za-z0-9\[])"
+#: A password in a URI (from the "://" on), a block of a private key, a signed token of three parts, what is assigned to a name of secrets, or a run of key characters with a digit.
 BLOCK = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+){{0,4}}[A-Za-z0-9+/=\s]*+-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY-----"
 SIGNED = rf"(?<![{_KEY}])eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+(?:\.[A-Za-z0-9_-]*+)?"
 ASSIGNED = rf"(?i:{_NAMES}){_SIGN}(?:{BLOCK}|{_VALUE})"
 RUN = rf"(?<![{_KEY}])(?=[A-Za-z_+/=-]*+[0-9])[{_KEY}]{{16,}}+"
-CANDIDATE = f"(?:{BLOCK}|{SIGNED}|{ASSIGNED}|{RUN})"
-#: What stands before the value in a candidate: a name and its sign.
-HEAD = rf"^(?:[A-Za-z0-9_.-]{{0,60}}?(?i:{_NAMES}){_SIGN}(?=[^\s\"']{{6}}))?"
+URI = f"(?<=[A-Za-z0-9]){_USER}{_PASSWORD}"
+CANDIDATE = f"(?:{URI}|{BLOCK}|{SIGNED}|{ASSIGNED}|{RUN})"
+#: What stands before the value in a candidate: a user, or a name and its sign.
+HEAD = rf"^(?:{_USER}|[A-Za-z0-9_.-]{{0,60}}?(?i:{_NAMES}){_SIGN}(?=[^\s\"']{{6}}))?"
 #: Every text with a candidate holds one of these; each starts at a rare character, so a plain text is passed over quickly:
 #: a digit among 16 key characters has 8 of them before or behind it.
 DIGIT = rf"[0-9](?:(?<=[{_KEY}]{{9}})|[{_KEY}]{{8}})"
@@ -55,7 +59,7 @@ value version video view web week white window word work year your
 """.split()
 _WORDS = "|".join(sorted(DICTIONARY, key=len, reverse=True))
 
-FEATURES = ["length", "digits", "uppers", "lowers", "runs", "distinct", "entropy", "hexadecimal", "covered", "slashes", "separators", "vowels", "placeholder", "named", "assigned", "quoted", "benign", "in_path", "prefixed", "code"]
+FEATURES = ["length", "digits", "uppers", "lowers", "runs", "distinct", "entropy", "hexadecimal", "covered", "slashes", "separators", "vowels", "placeholder", "named", "user", "assigned", "quoted", "benign", "in_path", "prefixed", "code"]
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -80,8 +84,9 @@ def with_features(found: DataFrame) -> DataFrame:
             "slashes": share("/"),
             "separators": share("[-_.]"),
             "vowels": share("[AEIOUaeiou]"),
-            "placeholder": flag(v.rlike(r"(?i)x{4}|\*{3}|your|example|changeme|placeholder|dummy|sample|test|<|\$\{|12345|(.)\1{5}")),
+            "placeholder": flag(v.rlike(r"(?i)x{4}|\*{3}|your|example|changeme|placeholder|dummy|sample|test|<|\$\{|12345|(.)\1{5}" + rf"|^\W*(?:my|the)?\W?{_NAMES}\W*$")),
             "named": flag(left.rlike(rf"(?i){_NAMES}\W*$")),
+            "user": flag(left.rlike(r"://[^\s/:@]*:$")),
             "assigned": flag(left.rlike(r"[:=]\s*[\"']?$")),
             "quoted": flag(left.rlike(r"[\"']$")),
             "benign": flag(left.rlike(r"(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|etag|revision|build|version|isbn|order|invoice|page|id)\W*$")),
@@ -117,19 +122,25 @@ def labelled_findings(spark: SparkSession, each: int = LABELLED) -> DataFrame:
     block = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.substring(long, F.lit(1), length * 10), F.lit("\n-----END RSA PRIVATE KEY-----"))
     cut = F.substring(long, F.lit(1), length * 15)
     true_value = pick([hexed, F.upper(hexed), mixed, mixed, F.concat(F.lit("AKIA"), F.upper(F.substring(b64, 3, 16))), F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), F.concat(F.lit("sk-"), mixed), weak, weak, signed, block, cut], 7)
-    true_left = F.when(true_value.rlike("^(AKIA|ghp_|sk-|eyJ|-----)") & (draw(8) % 3 == 0), around).otherwise(F.concat(around, keys, sign))
+    scheme, user = pick(["postgres", "postgresql", "mysql", "mongodb+srv", "redis", "amqp", "https", "ftp", "smtp"], 20), pick([word(9), F.concat(word(9), number), "root", "admin", "svc-" , ""], 21)
+    site = F.concat(around, scheme, F.lit("://"), user, F.lit(":"))
+    at_site = draw(22) % 10 == 0
+    true_value = F.when(at_site, pick([weak, weak, mixed, hexed, F.concat(word(6), word(15)), F.concat(word(6), F.lit("-"), word(15), number)], 23)).otherwise(true_value)
+    true_left = F.when(at_site, site).when(true_value.rlike("^(AKIA|ghp_|sk-|eyJ|-----)") & (draw(8) % 3 == 0), around).otherwise(F.concat(around, keys, sign))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     slug = F.concat_ws("_", word(9), word(10), word(11), number)
     path = F.concat_ws("/", word(9), word(10), F.concat(word(11), number))
     fill = pick(["xxxxxxxxxxxxxxxx1234", "YOUR_API_KEY_HERE_123", "changeme12345678", "EXAMPLEKEY0123456789", "000000000000000000", "1234567890123456", "test_token_value_1", "<your-token-1>"], 12)
     plain = F.concat(word(9), word(10), word(11), number)
-    kind = F.pmod(draw(13), F.lit(13))
+    kind = F.pmod(draw(13), F.lit(14))
     said = pick(["function(request)", "required,", "undefined;", "os.environ.get(", "request.headers[", "settings.value,", "null,false", "string,optional", "process.env.KEY;", "getpass()"], 17)
-    false_value = F.when(kind == 0, F.substring(h, 1, 40)).when(kind == 1, uuid).when(kind == 2, slug).when(kind == 3, path).when(kind == 4, fill).when(kind == 5, plain).when(kind == 6, hexed).when(kind == 8, said).when(kind == 9, F.concat(word(9), pick(["", ".", ",", "-"], 18), word(10))).when(kind == 10, F.substring(F.conv(F.substring(h, 1, 15), 16, 10), 1, 18)).when(kind == 11, F.concat_ws("-", number, number, number)).when(kind == 12, cut).otherwise(F.concat(word(9), F.lit("-"), word(10), F.lit("-"), number))
+    unset = pick(["password", "PASSWORD", "<password>", "${DB_PASSWORD}", "your_password", "********", "xxxxxxxx", "[password]", "{{password}}", "changeme", "$PASSWORD", "example-password", "passwd", "%PASSWORD%", "secret"], 24)
+    false_value = F.when(kind == 0, F.substring(h, 1, 40)).when(kind == 1, uuid).when(kind == 2, slug).when(kind == 3, path).when(kind == 4, fill).when(kind == 5, plain).when(kind == 6, hexed).when(kind == 8, said).when(kind == 9, F.concat(word(9), pick(["", ".", ",", "-"], 18), word(10))).when(kind == 10, F.substring(F.conv(F.substring(h, 1, 15), 16, 10), 1, 18)).when(kind == 11, F.concat_ws("-", number, number, number)).when(kind == 12, cut).when(kind == 13, unset).otherwise(F.concat(word(9), F.lit("-"), word(10), F.lit("-"), number))
     false_left = (
         F.when(kind == 0, F.concat(around, pick(["commit ", "sha1 ", "revision ", "build "], 14)))
         .when(kind == 1, F.concat(around, pick(["uuid ", "id: ", "id=", "etag: ", ""], 14)))
         .when(kind == 3, pick(["/usr/lib/", "https://www.", "see ./", "C:\\", "href=/"], 14))
+        .when(kind == 13, site)
         .when(kind.isin(4, 8, 9), F.concat(around, keys, sign))
         .when(kind == 12, pick(["data:image/png;base64,", "src='data:font/woff;base64,", "sha512-", "integrity=\"sha384-"], 14))
         .when(kind == 6, F.concat(around, pick(["sha256: ", "md5 ", "checksum ", "digest=", "hash "], 14)))
@@ -161,7 +172,7 @@ def held_out_figures(spark: SparkSession, each: int = LABELLED, threshold: float
 
 def likely(text: Column) -> Column:
     """Whether a text may hold a candidate; false for null."""
-    return F.coalesce(text.rlike(DIGIT) | text.rlike(SIGN) | text.contains("PRIVATE KEY-----") | text.contains("eyJ"), F.lit(False))
+    return F.coalesce(text.rlike(DIGIT) | text.rlike(SIGN) | text.rlike(URI) | text.contains("PRIVATE KEY-----") | text.contains("eyJ"), F.lit(False))
 
 
 def _pieces(text: Column) -> Column:
