@@ -25,17 +25,17 @@ OPEN, CLOSE = "\ufdd0", "\ufdd1"
 _VALUE = rf"[^\s\"'{OPEN}{CLOSE}]{{6,}}+"
 _SIGN = r"[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?"
 #: What stands before a password in the user part of a URI.
-_USER = rf"://[^\s/:@?#\"'{OPEN}{CLOSE}]{{0,60}}:"
+_USER = rf"://(?<=[A-Za-z0-9]://)[^\s/:@?#\"'{OPEN}{CLOSE}]{{0,60}}:"
 _PASSWORD = rf"[^\s/@\"'{OPEN}{CLOSE}]{{6,}}+(?=@[A-Za-z0-9\[])"
 #: A password in a URI (from the "://" on), a block of a private key, a signed token of three parts, what is assigned to a name of secrets, or a run of key characters with a digit.
 BLOCK = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+){{0,4}}[A-Za-z0-9+/=\s]*+-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY-----"
 SIGNED = rf"(?<![{_KEY}])eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+(?:\.[A-Za-z0-9_-]*+)?"
 ASSIGNED = rf"(?i:{_NAMES}){_SIGN}(?:{BLOCK}|{_VALUE})"
 RUN = rf"(?<![{_KEY}])(?=[A-Za-z_+/=-]*+[0-9])[{_KEY}]{{16,}}+"
-URI = f"(?<=[A-Za-z0-9]){_USER}{_PASSWORD}"
+URI = f"{_USER}{_PASSWORD}"
 CANDIDATE = f"(?:{URI}|{BLOCK}|{SIGNED}|{ASSIGNED}|{RUN})"
 #: What stands before the value in a candidate: a user, or a name and its sign.
-HEAD = rf"^(?:{_USER}|[A-Za-z0-9_.-]{{0,60}}?(?i:{_NAMES}){_SIGN}(?=[^\s\"']{{6}}))?"
+HEAD = rf"^(?:://[^\s/:@?#\"']{{0,60}}:|[A-Za-z0-9_.-]{{0,60}}?(?i:{_NAMES}){_SIGN}(?=[^\s\"']{{6}}))?"
 #: Every text with a candidate holds one of these; each starts at a rare character, so a plain text is passed over quickly:
 #: a digit among 16 key characters has 8 of them before or behind it.
 DIGIT = rf"[0-9](?:(?<=[{_KEY}]{{9}})|[{_KEY}]{{8}})"
@@ -172,7 +172,7 @@ def held_out_figures(spark: SparkSession, each: int = LABELLED, threshold: float
 
 def likely(text: Column) -> Column:
     """Whether a text may hold a candidate; false for null."""
-    return F.coalesce(text.rlike(DIGIT) | text.rlike(SIGN) | text.rlike(URI) | text.contains("PRIVATE KEY-----") | text.contains("eyJ"), F.lit(False))
+    return F.coalesce(text.rlike(DIGIT) | text.rlike(SIGN) | (text.contains("://") & text.rlike(URI)) | text.contains("PRIVATE KEY-----") | text.contains("eyJ"), F.lit(False))
 
 
 def _pieces(text: Column) -> Column:
