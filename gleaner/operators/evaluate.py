@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,21 +71,56 @@ def ablation(stages: dict[str, DataFrame], relevant: DataFrame, sizes: DataFrame
 POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(17)]
 
 
+#: Sums that a task of the bootstrap keeps before it passes them on.
+SUMS = 1 << 20
+
+
 def bootstrap(values: DataFrame, value: str, group: str, resamples: int = 2000, seed: int = 42, key: str = "query_id") -> DataFrame:
     """group, mean, low, high: the mean of values(key, group, value) and the 2.5 and 97.5 percentiles of its resampled means.
 
     A row stands in a resample as often as a Poisson number of mean 1 says that is drawn from the digest of seed, key and resample: so a
-    resample is the same wherever its rows lie, weighted sums are summed up before they are shuffled, and no task holds the values. Rows
-    without a value don't count; a resample without a row gives no mean.
+    resample is the same wherever its rows lie, weighted sums are summed up before they are shuffled, and no task holds the values. A key's
+    numbers are drawn once for all its groups, and values are read once. Rows without a value don't count; a resample without a row gives no mean.
     """
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("resample").cast("string")).cast("binary"))
-    u = F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    weight = F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda c: c <= F.col("u")))
-    rows = values.where(F.col(value).isNotNull()).select(group, key, F.col(value).cast("double").alias("x"))
-    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("u", u).withColumn("w", weight).where("w > 0")
-    means = drawn.groupBy(group, "resample").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    ends = means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return rows.groupBy(group).agg(F.avg("x").alias("mean")).join(ends, group).select(group, "mean", "low", "high")
+    rows = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("x"))
+    dealt = rows.repartition(values.sparkSession.sparkContext.defaultParallelism, "key").sortWithinPartitions("key")
+    summed = dealt.mapInArrow(_resampled(resamples, seed), f"g {dict(rows.dtypes)['g']}, resample int, w double, wx double").groupBy("g", "resample").agg((F.sum("wx") / F.sum("w")).alias("m"))
+    drawn = F.when(F.col("resample") < resamples, F.col("m"))
+    ends = summed.groupBy("g").agg(F.max(F.when(F.col("resample") == resamples, F.col("m"))).alias("mean"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
+    return ends.where("low is not null").select(F.col("g").alias(group), "mean", "low", "high")
+
+
+def _resampled(resamples: int, seed: int):
+    """Weights and weighted sums by group and resample of a task's rows (g, key, x), sorted by key; the last resample holds every row once."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        ends, cuts = [f":{i}".encode() for i in range(resamples)], np.array(POISSON)
+        last, weights, sums, kind = (), None, {}, None
+
+        def out():
+            for g, both in sums.items():
+                at = np.flatnonzero(both[0])
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), kind), pa.array(at, pa.int32()), pa.array(both[0][at]), pa.array(both[1][at])], ["g", "resample", "w", "wx"])
+            sums.clear()
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for g, k, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if (k,) != last:
+                    start, last = (f"{seed}" if k is None else f"{seed}:{k}").encode(), (k,)
+                    drawn = np.frombuffer(b"".join([hashlib.md5(start + e).digest() for e in ends]), ">u8")[::2] >> 12  # thirteen hexadecimal digits
+                    weights = np.append(np.searchsorted(cuts, drawn / 16.0**13, side="right"), 1).astype(float)
+                if g not in sums:
+                    if len(sums) * (resamples + 1) >= SUMS:
+                        yield from out()
+                    sums[g] = np.zeros((2, resamples + 1))
+                sums[g][0] += weights
+                sums[g][1] += weights * x
+        yield from out()
+
+    return run
 
 
 def overlapping_intervals(intervals: DataFrame, group: str) -> DataFrame:
