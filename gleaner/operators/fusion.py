@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +41,27 @@ def drop_exact_copies(ranked: DataFrame, hash_column: str = "content_hash") -> D
 def drop_near_copies(ranked: DataFrame, key: str = "chunk_id", threshold: float = NEAR) -> DataFrame:
     """Greedy by rank: a row stays if its dot product with every row kept before it is at most threshold; no vector, no test.
 
-    A fold over the candidates of a query, a bounded list.
+    Rows pass by in order of query and rank; of a query a task holds the vectors that stayed, and rows are computed once.
     """
-    from .vector import dot
-
-    items = F.sort_array(F.collect_list(F.struct("rank", F.col(key).alias("key"), "embedding")))
-    grouped = ranked.groupBy("query_id").agg(items.alias("items"))
-    start = F.slice(F.col("items"), 1, 0)
-    near = lambda x, y: F.coalesce(dot(x["embedding"], y["embedding"]) > threshold, F.lit(False))
-    keep = lambda kept, x: F.when(x["embedding"].isNotNull() & F.exists(kept, lambda y: near(x, y)), kept).otherwise(F.array_append(kept, x))
-    kept = grouped.select("query_id", F.explode(F.aggregate("items", start, keep)).alias("x")).select("query_id", F.col("x.key").alias(key))
-    return ranked.join(kept, ["query_id", key], "left_semi")
+    query, vector, kinds = ranked.columns.index("query_id"), ranked.columns.index("embedding"), ranked.schema
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        last, kept = (), {}
+        for b in batches:
+            stays = []
+            for q, v in zip(b.column(query).to_pylist(), b.column(vector), strict=True):
+                if (q,) != last:
+                    last, kept = (q,), {}
+                x = np.asarray(v.values.to_numpy(zero_copy_only=False), float) if v.is_valid else None
+                same = kept.setdefault(len(x), []) if x is not None else []
+                stays.append(not same or not (np.stack(same) @ x > threshold).any())
+                if stays[-1] and x is not None:
+                    same.append(x)
+            yield b.filter(pa.array(stays, pa.bool_()))
+
+    return ranked.repartition("query_id").sortWithinPartitions("query_id", "rank", key).mapInArrow(run, kinds)
 
 
 def merge_variants(runs: DataFrame, key: str = "chunk_id", k: int = RRF) -> DataFrame:

@@ -50,7 +50,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 25, key: str = "vec_
             return out.empty_table()
         q, x = (np.stack(t.column(c).to_numpy()).astype(float) for t, c in ((a, "wanted"), (b, "embedding")))
         scores, ids, qids = q @ x.T, b.column(key).to_numpy(), a.column("query_id").to_numpy()
-        top = [np.lexsort((ids, -np.round(s, 12)))[:k] for s in scores]
+        # Window and task round alike: a row that is dropped here can't be among the first k there. Only what reaches the k-th score is sorted.
+        least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)] - 1e-9
+        near = [np.flatnonzero(s >= low) for s, low in zip(scores, least, strict=True)]
+        top = [at[np.lexsort((ids[at], -np.round(s[at], 9)))[:k]] for s, at in zip(scores, near, strict=True)]
         return pa.table([np.repeat(qids, [len(t) for t in top]), np.concatenate([ids[t] for t in top]), np.concatenate([s[t] for s, t in zip(scores, top, strict=True)])], schema=out)
 
     found = left.groupBy("part", "at").cogroup(right.groupBy("part", "at")).applyInArrow(run, f"query_id long, {key} long, score double")

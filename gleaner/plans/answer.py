@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash, normalized_question, script_language, sentences
 from ..operators import evidence as ev
 from ..operators import fusion, lexical, rerank, respond, rules, vector
+from .session import once as written
 
 
 def keyword_domains(text, vocabulary: dict[str, list[str]]):
@@ -20,7 +21,7 @@ def keyword_domains(text, vocabulary: dict[str, list[str]]):
 
 def retrieve(questions: DataFrame, store: DataFrame, k: int = 25) -> DataFrame:
     """Hybrid search of questions(query_id, query, domains) in store(chunk_id, text, domains, content_hash, embedding)."""
-    dense = vector.search(store.select("chunk_id", "embedding"), questions.select("query_id", vector.hashed_embedding(F.col("query")).alias("embedding")), k, key="chunk_id")
+    dense = written(vector.search(store.select("chunk_id", "embedding"), questions.select("query_id", vector.hashed_embedding(F.col("query")).alias("embedding")), k, key="chunk_id"), "dense")
     found = lexical.search(store.select("chunk_id", "text"), questions.select("query_id", "query"), k)
     predicted = questions.select("query_id", F.col("domains").alias("predicted"))
     return fusion.hybrid_search(dense, found, store.select("chunk_id", "domains", "content_hash", "embedding"), predicted, k=k)
