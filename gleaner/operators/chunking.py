@@ -146,7 +146,7 @@ def assemble(pieces: DataFrame, documents: DataFrame, config: str, benchmark: bo
     documents(document_id, title, organization, publication_year, source_url, license, domains, has_evidence_grades).
     """
     sized = pieces.where(F.length(F.trim("text")) > 0).withColumn("token_count", count_tokens(F.col("text"))).withColumn("chunk_type", chunk_type(F.col("text"), F.col("kind") == "table"))
-    kept = sized.where((F.col("token_count") >= MIN_TOKENS) | (F.col("chunk_type") == "recommendation"))
+    kept = sized.where((F.col("token_count") >= MIN_TOKENS) | (F.col("chunk_type") == "recommendation")).repartition("document_id")  # once for all windows
     doc = Window.partitionBy("document_id")
     at = F.struct("unit_no", "piece_no")
     first = kept.withColumn("__first", F.min(at).over(Window.partitionBy("document_id", "section_path")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_line, is_page_number, is_worksheet_rule, squeeze
+from ..plans.session import once
 from ..sources.tables import CLEANED_BLOCKS
 from . import chunking, layout
 
@@ -89,7 +90,8 @@ def document_profiles(pages: DataFrame, share: float = layout.SHARE, band: float
 
 def marked_lines(pages: DataFrame, sections: DataFrame, share: float = layout.SHARE, band: float = layout.BAND) -> DataFrame:
     """The text lines of parsed pages with matter (their page is front or back matter), edge (header or footer) and rule."""
-    known = pages.join(document_profiles(pages, share, band), "document_id", "left").join(sections.select(*PAGE, "is_boilerplate"), PAGE, "left")
+    profiles = once(document_profiles(pages, share, band), "profiles")  # of known size: few documents are broadcast, and pages aren't shuffled for them
+    known = pages.join(profiles, "document_id", "left").join(sections.select(*PAGE, "is_boilerplate"), PAGE, "left")
     each = known.select(*PAGE, "top_height", "texts", "slots", F.coalesce("is_boilerplate", F.lit(False)).alias("matter"), F.posexplode("blocks").alias("at", "b"))
     zone = F.when(F.col("y0") < band, "top").when(F.col("y0") > F.col("top_height") - band, "bottom")
     each = each.where("b.block_type = 'text'").select("*", "b.y0", "b.text").withColumns({"zone": zone, "norm": squeeze(F.col("text"))})
@@ -141,9 +143,12 @@ def written_pages(pages: DataFrame) -> DataFrame:
 
 
 def ingest(lines: DataFrame, tables: DataFrame, headings: Callable[[DataFrame], DataFrame] = layout.generic_headings, share: float = layout.SHARE) -> tuple[DataFrame, DataFrame]:
-    """Parsed and cleaned pages of lines and usable tables; headings finds the headings of lines."""
-    pages = parsed_pages(lines, tables)
-    sections = layout.assign_sections(pages, headings(text_lines(pages)))
+    """Parsed and cleaned pages of lines and usable tables; headings finds the headings of lines.
+
+    Parsed pages, sections and profiles are written once: each of the passes over them would shuffle the lines anew.
+    """
+    pages = once(parsed_pages(lines, tables), "pages")
+    sections = once(layout.assign_sections(pages, headings(text_lines(pages))), "sections")
     return pages, cleaned_pages(pages, sections, share)
 
 
