@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -53,6 +53,21 @@ def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     return rows
 
 
+def staged_parts(spark: SparkSession, df: DataFrame, by: str) -> Callable[[int], tuple[DataFrame, str]]:
+    """As staged(), in a folder for each value of by: a function from such a value to its rows (none if it has no folder), without the column by, and the folder."""
+    _, path = staged_at(spark, df, by)
+    if (paths := _since.get()) is not None:
+        paths.append(path)
+    schema = df.drop(by).schema
+
+    def part(value: int) -> tuple[DataFrame, str]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(found := f"{path}/{by}={value}")
+        known = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return spark.read.schema(schema).parquet(found) if known else spark.createDataFrame([], schema), found
+
+    return part
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """At its end, the folders of all staged() calls inside are deleted: what was made of them must have been written by then."""

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release_memory, slices, split_among, staged
+from .common import discard, release_memory, slices, split_among, staged, staged_parts
 from .components import components
 
 #: Word hashes that a worker remembers, and bytes of such a word; sets and shingles that meet in a task; sets whose distances are kept for others.
@@ -32,6 +32,8 @@ LARGE, WEAK = (9, 10), 3
 OFTEN_HERE, OFTEN, FREQUENT = 3, 32, 100_000
 #: Documents, and bytes of their texts, whose shingles a task holds at a time; bytes of all texts whose postings make one bucket (they have about 0.6 bytes for one of text).
 TOGETHER, BYTES, BUCKET = 2500, 16 << 20, 64 << 20
+#: Groups of buckets at most, and bytes of all texts for one.
+GROUPS, GROUP = 8, 16 << 20
 
 
 class Words(dict):
@@ -339,11 +341,18 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, width: int = 5, num: i
     buckets = max(256, -(-size // BUCKET))
     shape = "doc_id long, n_shingles long, digest binary, bucket int, posted binary, met binary"
     often = None if _large(num, den) else frequent(texts, width)
-    found = staged(spark, texts.mapInArrow(_digests(width, num, den, buckets, often), shape))
-    each = found.where("bucket is null").select("doc_id", "n_shingles", "digest")
+    # Postings are half of all that is staged: they are shuffled a group of buckets at a time, and a group's are deleted when its pairs are written.
+    groups = min(GROUPS, max(1, size // GROUP))
+    group = F.when(F.col("bucket").isNull(), -1).otherwise(F.col("bucket") % groups)
+    found = staged_parts(spark, texts.mapInArrow(_digests(width, num, den, buckets, often), shape).withColumn("group", group), "group")
+    each = found(-1)[0].select("doc_id", "n_shingles", "digest")
     equal = staged(spark, each.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")).where("node is not null"))
 
-    met = staged(spark, found.where("bucket is not null").select("bucket", "posted", "met").groupBy("bucket").applyInArrow(_candidates, "a long, b long").distinct())
+    met = spark.createDataFrame([], "a long, b long")
+    for i in range(groups):
+        posted, folder = found(i)
+        met = met.union(staged(spark, posted.select("bucket", "posted", "met").groupBy("bucket").applyInArrow(_candidates, "a long, b long").distinct()))
+        discard(spark, folder)
     # A batch knows its own copies only; here every document stands for its set's first one.
     ends = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
     first = staged(spark, split_among(each.where("digest is not null"), "doc_id", ends)[0].join(ends, "doc_id").join(equal.select("digest", "node"), "digest").groupBy("doc_id").agg(F.min("node").alias("node")))
